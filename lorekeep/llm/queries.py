@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe
+from lorekeep.llm import bpe, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE: dict[str, str] = {}
