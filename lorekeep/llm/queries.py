@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, packing
+from lorekeep.llm import bpe, lines, packing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_line_dedup": lines.SQL,
+    "op9_url_filter": urls.SQL,
+}
