@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, lines, packing, urls
+from lorekeep.llm import bpe, lines, packing, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_quality_rules": rules.op4_quality_rules,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_quality_rules": rules.op4_quality_rules,
     "op8_line_dedup": lines.SQL,
     "op9_url_filter": urls.SQL,
 }
