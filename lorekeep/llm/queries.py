@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, language, lines, packing, rules, urls
+from lorekeep.llm import bpe, language, lines, neardup, packing, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_language": language.op6_language,
+    "op7_near_dup": neardup.op7_near_dup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_packing": packing.op10_packing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_language": language.op6_language,
+    "op7_near_dup": neardup.op7_near_dup,
     "op8_line_dedup": lines.SQL,
     "op9_url_filter": urls.SQL,
 }
