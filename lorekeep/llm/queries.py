@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, language, lines, neardup, packing, rules, urls
+from lorekeep.llm import bpe, language, lines, neardup, packing, quality, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_language": language.op6_language,
