@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, language, lines, neardup, packing, quality, rules, urls
+from lorekeep.llm import bpe, language, lines, neardup, packing, pii, quality, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
+    "op3_pii": pii.op3_pii,
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_language": language.op6_language,
     "op7_near_dup": neardup.op7_near_dup,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_pii": pii.op3_pii,
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_language": language.op6_language,
     "op7_near_dup": neardup.op7_near_dup,
