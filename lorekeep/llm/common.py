@@ -38,6 +38,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def with_text(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with another text, and n_chars, if there is such a column, to match where the text has changed."""
+    out = {"text": text}
+    if "n_chars" in df.columns:
+        same = F.col("text").eqNullSafe(text)
+        out["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast(df.schema["n_chars"].dataType)
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

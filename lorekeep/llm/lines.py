@@ -59,8 +59,8 @@ def later_occurrences(docs: DataFrame) -> DataFrame:
     return found.join(repeated, ["h1", "h2"]).where(~occurrence.eqNullSafe(F.col("_first"))).select("doc_id", "_text_hash", "pos")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, text: every text without the lines of windows that occurred before."""
+def _without(docs: DataFrame) -> DataFrame:
+    """(row: all columns of docs, n_lines, n_removed, text: without the covered lines)."""
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.array(*[p + k for k in range(LINES)]))))
     gone = (
         later_occurrences(docs)
@@ -68,19 +68,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("pos").alias("_starts"))
         .select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), covered.alias("_covered"))
     )
-    plain = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
-    joined = plain.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left")
-    lined = joined.select("doc_id", "text", "_covered", F.split("text", "\n", -1).alias("_lines"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text_hash"))
+    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left")
+    lined = joined.select("row", "_covered", F.split("row.text", "\n", -1).alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     picked = F.transform(kept, lambda i: F.get(F.col("_lines"), i))
     return lined.select(
-        "doc_id",
+        "row",
         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(picked, "\n")).alias("text"),
+        F.when(F.col("_covered").isNull(), F.col("row.text")).otherwise(F.array_join(picked, "\n")).alias("text"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, text: every text without the lines of windows that occurred before."""
+    return _without(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", "text")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, without repeated lines; a text that loses all its lines loses its row."""
+    left = _without(docs).where("n_removed = 0 OR n_removed < n_lines")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 

@@ -130,7 +130,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """doc_id, node (key of the words), keys (of the bands; null without words)."""
+    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,10 +151,11 @@ def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
                 flat = pa.array(keys[n > 0].ravel())
                 offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content_keys(words, counts).astype(np.int64)), lists], ["doc_id", "node", "keys"])
+                columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(content_keys(words, counts).astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str = "set") -> DataFrame:
@@ -215,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """doc_id, class_id of every row: documents linked, directly or through others, by a similarity of that much."""
+    """doc_id, text_hash, class_id of every row: documents linked, directly or through others, by a similarity of that much."""
     signed = stash(sketch(docs, weighting), "signed")
     nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "nodes")
     banded = nodes.where("id IS NOT NULL").select("node", "id", F.explode("keys").alias("key"))
@@ -255,8 +256,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "s
     known = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("class", "node").alias("class"))
     least = known.groupBy("class").agg(F.min("id").alias("class_id"))
     by_node = known.join(least, "class").select("node", "class_id")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id")
+    return signed.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", "class_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns: of each class the row of least doc_id (then text hash), once."""
+    labelled = stash(classes(docs), "labelled")
+    first = labelled.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left_semi")
+    repeated = labelled.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read(spark, sf_dir, "documents"))
+    return classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import by_size, read, stash, texts_of
+from lorekeep.llm.common import by_size, fresh, read, stash, texts_of, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -240,20 +240,22 @@ def find(docs: DataFrame) -> DataFrame:
     return apply(docs, stash(disclosing(docs), "terms"))
 
 
-def apply(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Find and replace, given the disclosing ``terms`` (term, p)."""
+def apply(docs: DataFrame, terms: DataFrame, carry: bool = False) -> DataFrame:
+    """Find and replace, given the disclosing ``terms`` (term, p). ``carry``: all columns of docs come along, as _row."""
     import hashlib
 
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", "text")
+    row = F.struct(*[f"`{c}`" for c in docs.columns]) if carry else F.lit(None).cast("int")
+    source = docs.select("doc_id", "text", row.alias("_row"))
+    carried = source.schema["_row"].dataType.simpleString()
     small = terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     shared = spark.sparkContext.broadcast({r.term: r.p for r in terms.collect()} if small else {})
     if not small:  # each document gets the terms that it holds
-        keyed = source.withColumn("_row", F.xxhash64("doc_id", "text"))
-        words = keyed.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0)))).alias("term")).distinct()
-        own = words.join(terms, "term").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("terms"))
-        source = keyed.join(own, "_row", "left").select("doc_id", "text", "terms")
+        keyed = source.withColumn("_key", F.xxhash64("doc_id", "text"))
+        words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0)))).alias("term")).distinct()
+        own = words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("terms"))
+        source = keyed.join(own, "_key", "left").select("doc_id", "text", "_row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -271,12 +273,19 @@ def apply(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     extra.append(len(more))
                     clean.append(sanitised(text, spans, known) if text and spans else text)
                 n = np.array(counts, np.int64).reshape(-1, len(KINDS))
-                columns = [batch.column("doc_id"), *(pa.array(n[:, j]) for j in range(len(KINDS))), pa.array(sha, pa.string()), pa.array(joined, pa.string()), pa.array(extra, pa.int64()), pa.array(clean, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms", "clean"])
+                columns = [batch.column("doc_id"), *(pa.array(n[:, j]) for j in range(len(KINDS))), pa.array(sha, pa.string()), pa.array(joined, pa.string()), pa.array(extra, pa.int64()), pa.array(clean, pa.string()), batch.column("_row")]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms", "clean", "_row"])
 
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_terms long, clean string"
+    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + f", base_sha256 string, spans string, n_terms long, clean string, _row {carried}"
     return source.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, texts sanitised."""
+    found = apply(docs, stash(disclosing(docs), "terms"), carry=True)
+    fields = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return with_text(found.select(*fields, F.col("clean").alias(fresh(docs, "clean"))), F.col(fresh(docs, "clean"))).select(*docs.columns)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(read(spark, sf_dir, "documents")).drop("clean")
+    return find(read(spark, sf_dir, "documents")).drop("clean", "_row")

@@ -170,6 +170,18 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep(docs: DataFrame, voter: Voter) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't predicted to be bad."""
+    shared = docs.sparkSession.sparkContext.broadcast(voter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_size(whole, "text"):
+                yield batch.filter(pa.array(shared.value.score(texts_of(batch.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(crc_mod("doc_id", 3), F.lit(0)) == 1
 
