@@ -17,25 +17,27 @@ import json
 import mmap
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import by_size, read, texts_of
+from lorekeep.llm.common import by_size, read, stash, texts_of
 
 #: Fixed value: how byte-level BPE splits a text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White_Space of Unicode, spelled out: Python's own class holds four more control characters.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Pieces between which WORDS never matches across: a run of other characters with the space before it, or white space.
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The same without contractions in sight: letters and other characters part, so that fewer pieces differ.
+_FINE = re.compile(f" ?[^\\W\\d_]+| ?(?:[^\\w{_WS}]|[\\d_])+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Words compiled into the lexicon (the most frequent ones of the corpus).
-LEXICON_WORDS = 40_000
-#: Words that a worker remembers before it forgets them all.
-MEMORY_WORDS = 200_000
+LEXICON_WORDS = 100_000
+#: Words that a worker remembers before it forgets those that its latest batch doesn't hold.
+MEMORY_WORDS = 300_000
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,6 +56,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def runs_of(text: str) -> list[str]:
+    """Pieces of a text between which WORDS never matches across; together they are the text."""
+    return (_COARSE if "'" in text else _FINE).findall(text)
+
+
+#: White space before a blank: then blanks alone don't tell where words part.
+_DOUBLE = re.compile(f"[{_WS}] ")
+
+
+def chunks_of(text: str) -> list[str] | None:
+    """What stands between blanks: each but the first is a piece with the blank before it. None where white space
+    runs over a piece's border."""
+    return None if _DOUBLE.search(text) else text.split(" ")
+
+
 class Merges:
     """A byte-level vocabulary: exact merging of a word's bytes, and the bytes of an id."""
 
@@ -63,10 +80,13 @@ class Merges:
         to_byte = byte_alphabet()
         as_bytes = lambda s: bytes(to_byte[c] for c in s)
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if all(c in to_byte for c in t)}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair of ids (as one number) -> rank of its merge, and rank -> id of what it makes.
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = (as_bytes(x) for x in (m if isinstance(m, list) else m.split(" ")))
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+            self.rank[self.ids[a] << 20 | self.ids[b]] = r
+            self.made.append(self.ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for b, i in self.ids.items():
@@ -81,16 +101,16 @@ class Merges:
         ids = [self.first[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                r = rank.get((ids[k], ids[k + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            k = ranks.index(r)
+            ids[k : k + 2] = [self.made[r]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 20 | ids[k], none)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 20 | ids[k + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -98,20 +118,20 @@ class Merges:
 
         n, rank = len(ids), self.rank
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*rank[p], k, p) for k in range(n - 1) if (p := (ids[k], ids[k + 1])) in rank]
+        heap = [(rank[p], k, p) for k in range(n - 1) if (p := ids[k] << 20 | ids[k + 1]) in rank]
         heapq.heapify(heap)
         while heap:
-            _, new, k, pair = heapq.heappop(heap)
+            r, k, pair = heapq.heappop(heap)
             b = right[k]
-            if b < 0 or ids[k] < 0 or (ids[k], ids[b]) != pair:
+            if b < 0 or ids[k] < 0 or (ids[k] << 20 | ids[b]) != pair:
                 continue
-            ids[k], ids[b] = new, -1
+            ids[k], ids[b] = self.made[r], -1
             right[k] = right[b]
             if right[b] >= 0:
                 left[right[b]] = k
             for x in (left[k], k):
-                if x >= 0 and right[x] >= 0 and (p := (ids[x], ids[right[x]])) in rank:
-                    heapq.heappush(heap, (*rank[p], x, p))
+                if x >= 0 and right[x] >= 0 and (p := ids[x] << 20 | ids[right[x]]) in rank:
+                    heapq.heappush(heap, (rank[p], x, p))
         return [i for i in ids if i >= 0]
 
 
@@ -219,7 +239,7 @@ class Lexicon:
 
 
 class Codec:
-    """Encode and decode texts with a lexicon before the merges. Memory is bounded by MEMORY_WORDS."""
+    """Encode and decode texts with a lexicon before the merges. What it remembers is bounded by MEMORY_WORDS."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         import regex
@@ -227,58 +247,76 @@ class Codec:
         self.merges, self.lexicon = merges, lexicon
         self.words = regex.compile(WORDS)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: Chunks (for those with a blank before them) and runs -> ids joined by commas, decoded bytes.
+        self.chunks: dict[str, tuple[str, bytes]] = {}
+        self.runs: dict[str, tuple[str, bytes]] = {}
         self.lexicon_hits = 0
 
-    def pieces(self, text: str) -> list[str]:
-        """Special tokens, and the runs between which words never reach."""
-        if self.special is None or not any(s in text for s in self.merges.special):
-            return _COARSE.findall(text)
+    def _runs(self, text: str) -> list[str]:
+        """Special tokens, and the runs between them."""
+        if self.special is None or "<" not in text:
+            return runs_of(text)
         out = []
         for k, part in enumerate(self.special.split(text)):
-            out += [part] if k % 2 else _COARSE.findall(part)
+            out += [part] if k % 2 else runs_of(part)
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
-        split = [[p] if p in self.merges.special else self.words.findall(p) for p in new]
-        flat = list({w for s in split for w in s if w not in self.merges.special})
+    def _learn(self, runs: set[str]) -> None:
+        if len(self.runs) > MEMORY_WORDS:
+            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
+        known, special, bytes_of = self.runs, self.merges.special, self.merges.bytes_of
+        new = [r for r in runs if r not in known]
+        split = [[] if r in special else self.words.findall(r) for r in new]
+        flat = list(set().union(*split))
         raw = [w.encode() for w in flat]
         found = self.lexicon.lookup(raw) if self.lexicon else [None] * len(raw)
         self.lexicon_hits += sum(x is not None for x in found)
         ids_of = {w: ids if ids is not None else self.merges.merge(b) for w, b, ids in zip(flat, raw, found, strict=True)}
-        ids_of |= {s: [i] for s, i in self.merges.special.items()}
-        bytes_of = self.merges.bytes_of
-        for p, s in zip(new, split, strict=True):
-            ids = [i for w in s for i in ids_of[w]]
-            self.known[p] = (",".join(map(str, ids)), len(ids), b"".join([bytes_of[i] for i in ids]))
-
-    def run(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        split = [self.pieces(t) for t in texts]
-        self.learn(p for s in split for p in s)
-        get = self.known.__getitem__
-        for s in split:
-            yield list(map(get, s))
+        for r, words in zip(new, split, strict=True):
+            ids = [i for w in words for i in ids_of[w]] if words else [special[r]] if r in special else []
+            known[r] = (",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]))
+
+    def run(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids joined by commas, and decoded bytes, of each text."""
+        split = [chunks_of(t) for t in texts]
+        here = set().union(*[s[1:] for s in split if s is not None])
+        if len(self.chunks) > MEMORY_WORDS:
+            self.chunks = {c: self.chunks[c] for c in here if c in self.chunks}
+        chunks = self.chunks
+        new = {c: self._runs(" " + c) for c in here if c not in chunks}
+        first = [self._runs(t if s is None else s[0]) for t, s in zip(texts, split, strict=True)]
+        self._learn(set().union(*new.values(), *first))
+        runs = self.runs
+        for c, r in new.items():
+            if len(r) == 1:
+                chunks[c] = runs[r[0]]
+            else:
+                parts = [runs[x] for x in r]
+                chunks[c] = (",".join([x[0] for x in parts]), b"".join([x[1] for x in parts]))
+        get = chunks.__getitem__
+        for f, s in zip(first, split, strict=True):
+            doc = [runs[x] for x in f]
+            if s is not None:
+                doc += map(get, s[1:])
+            yield ",".join([x[0] for x in doc]), b"".join([x[1] for x in doc])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for x in doc for i in x[0].split(",") if i] for doc in self.run(texts)]
+        return [list(map(int, ids.split(","))) if ids else [] for ids, _ in self.run(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.merges.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """How often each piece (a word with the space before it) occurs in the corpus: word, n. Counted in batches
-    before the shuffle."""
+    """How often each chunk between blanks occurs in the corpus: word, n. Counted in batches before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text", 8 << 20):
                 words: list[str] = []
                 for t in texts_of(batch.column("text")):
-                    words += _COARSE.findall(t)
+                    s = chunks_of(t)
+                    words += runs_of(t) if s is None else s[1:]
                 c = pa.array(words, pa.string()).value_counts()
                 yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "n"])
 
@@ -286,16 +324,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, merges: Merges, words: int = LEXICON_WORDS) -> bytes:
-    """Compile the ``words`` most frequent words of ``docs`` (a bounded list, whatever the corpus holds)."""
+    """Compile the most frequent words of ``docs``, ``words`` at most, whatever the corpus holds."""
     import regex
 
     split = regex.compile(WORDS)
-    # what occurs once can only enter a lexicon that has room for everything; ties go to the smaller word
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect()
+    # a count from which on there are few enough words, from a histogram: the driver gets no more than it asks for
+    counts = stash(word_counts(docs).where("n > 1"), "words")
+    size = F.floor(F.log2("n") * 16)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if (total := total + r.n) > words:
+            break
+        least = r["size"]
+    top = counts.where(size >= least).select("word").collect() if least is not None else []
     lexicon: dict[bytes, list[int]] = {}
     for r in top:
-        for w in split.findall(r.word):
-            if w.encode() not in lexicon:
+        for w in [*split.findall(" " + r.word), *split.findall(r.word)]:
+            if len(lexicon) < words and w.encode() not in lexicon:
                 lexicon[w.encode()] = merges.merge(w.encode())
     return Lexicon.compile(lexicon)
 
@@ -324,14 +369,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_
         for whole in batches:
             for batch in by_size(whole, "text"):
                 n, a, b, ids, decoded = [], [], [], [], []
-                for doc in c.run(texts_of(batch.column("text"))):
-                    joined = ",".join([x[0] for x in doc])
-                    text = b"".join([x[2] for x in doc]).decode("utf-8", "replace")
-                    n.append(sum([x[1] for x in doc]))
+                for joined, raw in c.run(texts_of(batch.column("text"))):
+                    text = raw.decode("utf-8", "replace")
+                    n.append(joined.count(",") + 1 if joined else 0)
                     a.append(sha(joined.encode()))
                     b.append(sha(text.encode()))
                     if with_ids:
-                        ids.append([int(i) for i in joined.split(",") if i])
+                        ids.append(list(map(int, joined.split(","))) if joined else [])
                         decoded.append(text)
                 columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
