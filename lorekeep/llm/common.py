@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -60,6 +61,18 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def bounded_sample(rows: DataFrame, by: str, key: Column, most: int) -> DataFrame:
+    """About ``most`` of ``rows`` at most, as evenly over the values of ``by`` (few) as their numbers allow, by the hash of
+    ``key``. A filter: no row is shuffled, and where all rows fit they are all there."""
+    counts = sorted((r.n, r["b"]) for r in rows.groupBy(F.col(by).alias("b")).agg(F.count("*").alias("n")).collect() if r["b"] is not None)
+    left, keep = most, F.lit(False)
+    for k, (n, value) in enumerate(counts):
+        share = min(n, left // (len(counts) - k))
+        left -= share
+        keep = keep | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < F.lit(math.ceil(share / n * (1 << 40)))))
+    return rows.where(keep)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser with good avalanche, elementwise on uint64."""
     x = x.astype(np.uint64, copy=True)

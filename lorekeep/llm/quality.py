@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import by_size, crc_mod, read, texts_of
+from lorekeep.llm.common import bounded_sample, by_size, crc_mod, read, texts_of
 
-#: Labelled documents in the sample, at most, as many of either label as there are; the smallest hashes of their ids.
+#: Labelled documents in the sample, about, as many of either label as there are, by hashes of their ids.
 SAMPLE = 3000
 #: Hashed terms, and the latent space's width.
 TERMS, WIDTH = 4096, 48
@@ -148,9 +148,8 @@ def fit(texts: list[str], labels: list[int], df: np.ndarray, n: int, seed: int =
 def train(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> Voter:
     """``labelled``: doc_id, quality of the documents that may teach."""
     df, n = document_frequencies(docs)
-    known = labelled.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality", F.xxhash64("doc_id").alias("_h"))
-    nth = F.row_number().over(Window.partitionBy("quality").orderBy("_h", "_id"))
-    picked = known.withColumn("_nth", nth).where(F.col("_nth") <= most).orderBy("_nth", "quality").limit(most)
+    known = labelled.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality").distinct()
+    picked = bounded_sample(known, "quality", F.col("_id"), most)
     # the sample's bound (ids and labels, a few kB) is what allows to broadcast it
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["_id"], r.quality))
