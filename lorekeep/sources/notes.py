@@ -19,7 +19,8 @@ def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_notes(spark: SparkSession, folder: str, s: Settings = DEFAULTS) -> DataFrame:
-    """Top-level notes but the review file, and all of the sessions folder; deeper folders aren't read."""
+    """Top-level notes but the review file, and those of the sessions folder; deeper folders aren't read. As Spark reads no
+    file whose name begins with an underscore, neither is a review file in the sessions folder (a deviation)."""
     parts = [_read_if_any(spark, folder, s.review_file, ""), _read_if_any(spark, f"{folder}/{s.sessions_dir}", None, f"{s.sessions_dir}/")]
     return parts[0].unionByName(parts[1])
 

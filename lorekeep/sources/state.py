@@ -17,7 +17,7 @@ def save(df: DataFrame, path: str) -> str:
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/v={version}")
-    fs, pointer = _file(spark, f"{path}/_current")
+    fs, pointer = _file(spark, f"{path}/current.txt")
     out = fs.create(pointer, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -26,11 +26,11 @@ def save(df: DataFrame, path: str) -> str:
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The current version; a missing or unreadable pointer or version counts as an empty table."""
-    fs, pointer = _file(spark, f"{path}/_current")
+    fs, pointer = _file(spark, f"{path}/current.txt")
     empty = spark.createDataFrame([], schema)
     if not fs.exists(pointer):
         return empty
-    version = spark.read.text(f"{path}/_current").first()
+    version = spark.read.text(f"{path}/current.txt").first()
     if not version:
         return empty
     fs, folder = _file(spark, f"{path}/v={version.value}/_SUCCESS")
