@@ -14,6 +14,9 @@ pieces; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +31,8 @@ from lorekeep.llm.common import by_size, read, stash, texts_of
 CAPACITY = 2048
 END_ID = 0
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Chunks that a worker remembers before it forgets them all.
-MEMORY_CHUNKS = 250_000
+#: Chunks, and pieces, that a worker remembers before it forgets those that its latest batch doesn't hold.
+MEMORY_CHUNKS = 400_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED_ROWS = 50_000
 
@@ -100,9 +103,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
+#: Runs of letters, and of other characters but white space: words of the vocabulary never reach across, but for
+#: contractions. Neither class need be exact, as the library splits each piece again.
+_RUNS = re.compile(r"[^\W\d_]+|(?:[^\w\s]|[\d_])+")
+#: Characters at which that shortcut isn't taken: apostrophes (contractions), separators that Python alone takes for
+#: white space, and letters whose lower case depends on their place or has two characters.
+_CAREFUL = re.compile("['\x1c-\x1f\u0130\u03a3]|<\\|")
+
+
+def runs_of(text: str) -> list[str]:
+    """Pieces of a text without blanks or newlines whose ids, one after the other, are the text's."""
+    if _CAREFUL.search(text) or not unicodedata.is_normalized("NFC", text):
+        return [text]
+    return _RUNS.findall(text.lower())
+
+
 class Chunks:
-    """Ids of texts by the tokenizers library, remembered a chunk (between blanks or newlines, which no token
-    reaches across)."""
+    """Ids of texts by the tokenizers library. What stands between blanks or newlines is remembered, and so are its
+    pieces, so that the library sees a piece once in a while only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,20 +129,30 @@ class Chunks:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def run(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > MEMORY_CHUNKS:
-            self.known = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for s in split for c in s if c not in known})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        here = set().union(*split)
+        if len(self.chunks) > MEMORY_CHUNKS:
+            self.chunks = {c: self.chunks[c] for c in here if c in self.chunks}
+        chunks = self.chunks
+        new = {c: runs_of(c) for c in here if c not in chunks}
+        parts = set().union(*new.values())
+        if len(self.pieces) > MEMORY_CHUNKS:
+            self.pieces = {p: self.pieces[p] for p in parts if p in self.pieces}
+        pieces = self.pieces
+        unseen = [p for p in parts if p not in pieces]
+        for a in range(0, len(unseen), 4096):
+            some = unseen[a : a + 4096]
+            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for c, runs in new.items():
+            chunks[c] = pieces[runs[0]] if len(runs) == 1 else b"".join([pieces[p] for p in runs])
+        get = chunks.__getitem__
         for s in split:
             yield b"".join(map(get, s))
 
