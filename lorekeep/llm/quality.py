@@ -34,38 +34,60 @@ SHARPNESS = 4
 MEMORY_WORDS = 300_000
 
 _TERMS: dict[str, tuple[int, int, int]] = {}
+_PARTS: dict[str, int] = {}
+_MARKS = "!?.,;:*#$%&|<>_~="
+
+
+def _part(kind: str, text: str) -> int:
+    return zlib.crc32(f"{kind} {text}".encode()) % TERMS
 
 
 def terms_of(word: str) -> tuple[int, int, int]:
     """Hashed terms of a word: its letters, its shape, and the marks at its end."""
-    body = word.rstrip("!?.,;:*#$%&|<>_~=")
-    shape = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in body[:2] + body[-1:]])
-    return tuple(zlib.crc32(t.encode()) % TERMS for t in (f"w {body.lower()}", f"s {shape}", f"e {word[len(body):][:4]}"))
+    body = word.rstrip(_MARKS)
+    sides, end = "s" + body[:2] + body[-1:], "e" + word[len(body) : len(body) + 4]
+    if (s := _PARTS.get(sides)) is None:
+        shape = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in sides[1:]])
+        s = _PARTS[sides] = _part("s", shape)
+    if (e := _PARTS.get(end)) is None:
+        e = _PARTS[end] = _part("e", end[1:])
+    return _part("w", body.lower()), s, e
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bags(texts: list[str], block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse counts (text, term, count) of all texts."""
-    if len(_TERMS) > MEMORY_WORDS:
-        _TERMS.clear()
+    if len(_PARTS) > MEMORY_WORDS:
+        _PARTS.clear()
     split = [t.split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
     words = [w for s in split for w in s]
+    terms = np.empty((0, 3), np.int64)
     if words:
         enc = pa.array(words, pa.string()).dictionary_encode()
         distinct = enc.dictionary.to_pylist()
+        if len(_TERMS) > MEMORY_WORDS:  # those of this batch stay
+            held = {w: _TERMS[w] for w in distinct if w in _TERMS}
+            _TERMS.clear()
+            _TERMS.update(held)
         for w in distinct:
             if w not in _TERMS:
                 _TERMS[w] = terms_of(w)
         table = np.array([_TERMS[w] for w in distinct], np.int64)
-        terms = table[enc.indices.to_numpy(zero_copy_only=False)].ravel()
-        owner = np.repeat(np.arange(len(texts)), 3 * n)
-    else:
-        terms = owner = np.empty(0, np.int64)
-    length = [zlib.crc32(b"l %d" % k) % TERMS for k in range(65)]
-    terms = np.concatenate([terms, [length[int(k).bit_length()] for k in n]]).astype(np.int64)
-    owner = np.concatenate([owner, np.arange(len(texts))])
-    cells, count = np.unique(owner * TERMS + terms, return_counts=True)
-    return cells // TERMS, cells % TERMS, count
+        terms = table[enc.indices.to_numpy(zero_copy_only=False)]
+    length = np.array([_part("l", str(k)) for k in range(65)], np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    rows, cells, counts = [], [], []
+    for a in range(0, len(texts), block):  # dense counts of a block of texts, then what isn't zero
+        b = min(a + block, len(texts))
+        owner = np.repeat(np.arange(b - a), n[a:b]) * TERMS
+        flat = np.concatenate([(terms[ends[a] : ends[b]] + owner[:, None]).ravel(), np.arange(b - a) * TERMS + length[[int(k).bit_length() for k in n[a:b]]]])
+        dense = np.bincount(flat, minlength=(b - a) * TERMS)
+        at = np.flatnonzero(dense)
+        rows.append(at // TERMS + a)
+        cells.append(at % TERMS)
+        counts.append(dense[at])
+    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    return cat(rows), cat(cells), cat(counts)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
