@@ -172,7 +172,7 @@ def review(stale_rows: DataFrame, pairs: DataFrame, s: Settings = DEFAULTS) -> D
     """section, pos, line of the review, in order: each list with its count, or a word for none."""
     spark = stale_rows.sparkSession
     # Fixed value: the report's wording.
-    intro = ["# Ревизия памяти (авто, memtools)", "", "Сгенерировано автоматически. **Ничего не удалено** — это кандидаты на ревизию.", "Реши вручную: обновить / слить / удалить / оставить.", ""]
+    intro = ["# Ревизия памяти (авто, lorekeep)", "", "Сгенерировано автоматически. **Ничего не удалено** — это кандидаты на ревизию.", "Реши вручную: обновить / слить / удалить / оставить.", ""]
     head = spark.createDataFrame([(0, k, x) for k, x in enumerate(intro)], "section int, pos long, line string")
 
     def part(section: int, rows: DataFrame, title: str, order: list[Column], line: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from lorekeep.config import DEFAULTS, Settings
 from lorekeep.functions import text as T
 
 #: The name by which hook payloads of this system's own runs are known.
-OWN_NAME = "homunculus"
+OWN_NAME = "lorekeep"
 
 
 def not_denied(events: DataFrame, denied: DataFrame) -> DataFrame:

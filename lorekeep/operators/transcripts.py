@@ -59,19 +59,19 @@ def blocks(lines: DataFrame) -> DataFrame:
     name = F.coalesce(get("$.name"), F.lit("tool"))
     what = (
         F.when(assistant & (kind == "thinking"), "THINKING")
-        .when(assistant & (kind == "text"), "CLAUDE")
+        .when(assistant & (kind == "text"), "ASSISTANT")
         .when(assistant & (kind == "tool_use"), "TOOL")
         .when(~assistant & (kind == "tool_result"), "RESULT")
     )
-    shown = F.when(what == "CLAUDE", T.ws_clip(F.coalesce(get("$.text"), F.lit("")), TEXT_CHARS)).when(what == "TOOL", tool_line(name, get("$.input")))
-    parts = each.select("session", "line_no", "pos", F.col("timestamp").alias("ts"), what.alias("kind"), shown.alias("text"), F.when(what == "TOOL", name).alias("tool")).where("kind IS NOT NULL AND (kind <> 'CLAUDE' OR text <> '')")
+    shown = F.when(what == "ASSISTANT", T.ws_clip(F.coalesce(get("$.text"), F.lit("")), TEXT_CHARS)).when(what == "TOOL", tool_line(name, get("$.input")))
+    parts = each.select("session", "line_no", "pos", F.col("timestamp").alias("ts"), what.alias("kind"), shown.alias("text"), F.when(what == "TOOL", name).alias("tool")).where("kind IS NOT NULL AND (kind <> 'ASSISTANT' OR text <> '')")
     return prompts.unionByName(parts)
 
 
 def counts(found: DataFrame) -> DataFrame:
     """The five counters of each session with any block."""
     of = lambda k, name: F.count_if(F.col("kind") == k).alias(name)
-    return found.groupBy("session").agg(of("USER", "user_prompts"), of("CLAUDE", "assistant_texts"), of("TOOL", "tool_calls"), of("THINKING", "thinking"), of("RESULT", "tool_results"))
+    return found.groupBy("session").agg(of("USER", "user_prompts"), of("ASSISTANT", "assistant_texts"), of("TOOL", "tool_calls"), of("THINKING", "thinking"), of("RESULT", "tool_results"))
 
 
 def tool_histogram(found: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def digest(lines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """session, digest of sessions with enough prompts: a head of metadata and counts, then one line an event."""
     found = blocks(lines)
     # Labels of the digest.
-    label = F.create_map(*[F.lit(x) for x in ("USER", "🧑 ЮЗЕР", "CLAUDE", "🤖", "TOOL", "  ↳", "RESULT", "  =")])
+    label = F.create_map(*[F.lit(x) for x in ("USER", "🧑 ЮЗЕР", "ASSISTANT", "🤖", "TOOL", "  ↳", "RESULT", "  =")])
     spoken = F.struct("line_no", "pos", F.concat(label[F.col("kind")], F.lit(": "), "text").alias("line"))
-    told = found.where("kind IN ('USER', 'CLAUDE', 'TOOL')").groupBy("session").agg(F.transform(F.array_sort(F.collect_list(spoken)), lambda x: x["line"]).alias("events"))
+    told = found.where("kind IN ('USER', 'ASSISTANT', 'TOOL')").groupBy("session").agg(F.transform(F.array_sort(F.collect_list(spoken)), lambda x: x["line"]).alias("events"))
     tools = tool_histogram(found).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat("tool", F.lit("×"), F.col("n").cast("string")).alias("t")))), lambda x: x["t"]), ", ").alias("tools"))
     wide = sessions(lines).join(counts(found).where(F.col("user_prompts") >= s.least_prompts), "session").join(told, "session", "left").join(tools, "session", "left")
     n = lambda c: F.col(c).cast("string")

@@ -443,7 +443,7 @@ _EVENTS = _with(A.TRANSCRIPT, rf"""flat AS (SELECT *, {_FLAT} AS t, regexp_repla
 ev AS (SELECT conv_id, turn, 0 AS pos, 'USER' AS kind, stripped AS text, NULL AS tool FROM flat WHERE role = 'user' AND stripped <> ''
   AND NOT regexp_matches(stripped, '^(<local-command|<command-|<bash-|Caveat:)')
   UNION ALL SELECT conv_id, turn, 0, 'THINKING', NULL, NULL FROM flat WHERE role = 'assistant'
-  UNION ALL SELECT conv_id, turn, 1, 'CLAUDE', CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '…' ELSE t END, NULL FROM flat WHERE role = 'assistant' AND t <> ''
+  UNION ALL SELECT conv_id, turn, 1, 'ASSISTANT', CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '…' ELSE t END, NULL FROM flat WHERE role = 'assistant' AND t <> ''
   UNION ALL SELECT conv_id, turn, 2, 'TOOL', NULL, ['Bash', 'Read', 'TodoWrite', 'Other'][turn % 4 + 1] FROM flat WHERE role = 'assistant' AND turn % 2 = 1)""")
 
 
@@ -474,7 +474,7 @@ def meta_records(spark, sf_dir):
     return R.blocks(lines).where("kind = 'USER'").groupBy("session").agg(F.count("*").alias("n"))
 
 
-_COUNTS = _EVENTS + """, c AS (SELECT conv_id::VARCHAR AS session, count(*) FILTER (kind = 'USER') AS user_prompts, count(*) FILTER (kind = 'CLAUDE') AS assistant_texts,
+_COUNTS = _EVENTS + """, c AS (SELECT conv_id::VARCHAR AS session, count(*) FILTER (kind = 'USER') AS user_prompts, count(*) FILTER (kind = 'ASSISTANT') AS assistant_texts,
  count(*) FILTER (kind = 'TOOL') AS tool_calls, count(*) FILTER (kind = 'THINKING') AS thinking, 0::BIGINT AS tool_results FROM ev GROUP BY conv_id)"""
 
 
@@ -669,7 +669,7 @@ def obs_append(spark, sf_dir):
 @query("p11_self_loop_filter", "SELECT event_id FROM events WHERE event_id % 4 NOT IN (0, 1)")
 def self_loop(spark, sf_dir):
     i = F.col("event_id") % 4
-    raw = F.when(i == 0, "").when(i == 1, '{"x":"homunculus"}').otherwise(F.col("props"))
+    raw = F.when(i == 0, "").when(i == 1, '{"x":"lorekeep"}').otherwise(F.col("props"))
     return O.guard(A.table(spark, sf_dir, "events").withColumn("raw", raw)).select("event_id")
 
 
