@@ -15,7 +15,9 @@ from lorekeep.operators import notes as N
 from lorekeep.operators import observations as O
 from lorekeep.operators import transcripts as R
 from lorekeep.plans import adapters as A
+from lorekeep.plans import maintain as M
 from lorekeep.sources import notes as S
+from lorekeep.sources import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -826,6 +828,51 @@ def testrun_join(spark, sf_dir):
     return O.context_runs(names, _runs(spark, sf_dir)).select("name", F.coalesce("seq", F.lit(-1)).alias("seq"), "line")
 
 
+# ---- stored tables --------------------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares; without one, in this machine's."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base}/lorekeep/{name}-{uuid.uuid4().hex}"
+
+
+@query("s3_sink_index", _with(A.CHUNKS) + " SELECT file, count(*) AS chunks FROM chunks GROUP BY file")
+def sink_index(spark, sf_dir):
+    store = _store(spark, "index")
+    M.save_index(*N.build_index(A.notes(spark, sf_dir), *M.load_index(spark, store), M.MODEL), store)
+    return M.load_index(spark, store)[1].groupBy("file").agg(F.count("*").alias("chunks"))
+
+
+@query("s2_scan_index", _with(A.NOTES) + " SELECT file, substr(sha256(raw), 1, 16) AS hash FROM notes")
+def scan_index(spark, sf_dir):
+    store = _store(spark, "index")
+    notes = A.notes(spark, sf_dir)
+    M.save_index(N.file_table(notes, M.MODEL), spark.createDataFrame([], M.CHUNKS), store)
+    files, _ = M.load_index(spark, store)
+    none, _ = M.load_index(spark, _store(spark, "missing"))
+    return files.unionByName(none).select("file", "hash")
+
+
+@query("s15_state_load_save", _with(A.LISTING) + " SELECT path, size FROM state UNION ALL SELECT path, size FROM files WHERE doc_id % 2 = 1")
+def state_load_save(spark, sf_dir):
+    store = _store(spark, "state")
+    schema = "path string, size long, res string"
+    state.save(A.sweep_state(spark, sf_dir), store)
+    more = A.listing(spark, sf_dir).where("doc_id % 2 = 1").select("path", "size", F.lit("ok").alias("res"))
+    state.save(state.load(spark, store, schema).unionByName(more), store)
+    return state.load(spark, store, schema).select("path", "size")
+
+
+@query("t2_gated_microbatch", _with(_OBS) + ", t AS (SELECT seq, sum(octet_length(encode(coalesce(input, output))) + 1) OVER (ORDER BY seq DESC) AS s FROM o) SELECT seq FROM t WHERE s <= 120000 AND (SELECT count(*) FROM o) >= 10")
+def gated_microbatch(spark, sf_dir):
+    batch = O.gated(O.observe(A.hook_events(spark, sf_dir)))
+    return O.byte_tail(batch.select("seq", F.coalesce("input", "output").alias("line"))).select("seq")
+
+
 # ---- settings -------------------------------------------------------------------------------------------------------
 
 

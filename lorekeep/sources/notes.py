@@ -56,3 +56,15 @@ def key_values(lines: DataFrame) -> DataFrame:
 def write_notes(changed: DataFrame, folder: str) -> None:
     """Write (file, raw) as text, one row a file, under partition folders; the caller renames if it must."""
     changed.select("file", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, replaced as a whole: written beside, then renamed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(beside, target)

@@ -155,3 +155,20 @@ def test_state_versions(spark, tmp_path):
 def test_key_values(spark, tmp_path):
     (tmp_path / "env").write_text(" A = 1=2 \n#B=1\n\nnone\nA=3\n")
     assert {r.key: r.value for r in S.scan_key_values(spark, str(tmp_path / "env")).collect()} == {"A": "3"}
+
+
+def test_maintain_is_idempotent(spark, tmp_path):
+    from lorekeep.plans import maintain as M
+
+    folder, store = tmp_path / "notes", str(tmp_path / "store")
+    (folder / "sessions").mkdir(parents=True)
+    for name, t in {"alpha": "cats purr softly at night", "beta": "cats purr softly at noon", "gamma": "rockets fly to orbit", "delta": "tax forms are due in april", "eps": "bread needs flour and salt", "sessions/s": "cats purr softly at night"}.items():
+        (folder / f"{name}.md").write_text(t)
+    first = M.maintain(spark, str(folder), store, now())
+    assert first["embedded"] == 6 and first["written"] >= 2
+    assert "[[beta]]" in (folder / "alpha.md").read_text() and (folder / "sessions/s.md").read_text() == "cats purr softly at night"
+    assert (folder / "_review.md").read_text().startswith("# ")
+    again = M.maintain(spark, str(folder), store, now())
+    assert again["written"] == 0
+    assert M.maintain(spark, str(folder), store, now())["embedded"] == 0
+    assert M.recall(spark, store, ["rockets in orbit"], 1).first().file == "gamma.md"
