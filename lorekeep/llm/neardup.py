@@ -7,8 +7,10 @@ document and one hash a shingle. Coordinates are banded; documents that share a
 
 Candidates are not paired within a band: in rounds, all members of a band meet one member (a star), the exact
 similarity of each such pair is computed from the texts, links become classes, and only members of other classes
-go on to the next round with another centre. What then still shares a band across classes is compared pair by
-pair, so no candidate link between classes is lost. Equal texts are one node from the start.
+go on. What still shares a band across classes is compared by signature in blocks of bounded size, inside a task, and
+only pairs whose signatures agree enough are emitted and compared by their texts: no candidate link between classes is
+lost, and a large group of texts that are alike but not alike enough makes no rows. Equal texts are one node from
+the start.
 
 Cases: words are split at white space; a text of one to four words is a single shingle; texts without words (null
 or empty) are copies of each other; rows without doc_id take part as exact copies only and get their class's id;
@@ -32,8 +34,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands of ROWS coordinates: a pair of similarity 0.8 shares no band once in 9,000 times.
 BANDS, ROWS = 30, 6
-#: Rounds of stars before the remaining candidates are compared pair by pair.
-ROUNDS = 3
+#: Rounds of stars before what still shares bands across classes is compared in blocks.
+ROUNDS = 1
+BLOCK = 1024
+#: Agreement of signatures from which a pair's texts are compared: 3.5 standard deviations under the similarity.
+SLACK = 3.5
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _U64 = np.uint64
@@ -129,8 +134,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words)."""
+def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> DataFrame:
+    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words) and, if asked, the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,15 +152,55 @@ def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
                     at = np.flatnonzero(new)
                     weights = np.diff(np.append(at, len(s))).astype(np.float64)
                     s, n = s[at], np.bincount(owner[at], minlength=len(n))
-                keys = band_keys(signatures(s, n, BANDS * ROWS, weights)).astype(np.int64)
+                sig = signatures(s, n, BANDS * ROWS, weights)
+                keys = band_keys(sig).astype(np.int64)
                 flat = pa.array(keys[n > 0].ravel())
                 offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(content_keys(words, counts).astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys"])
+                names = ["doc_id", "text_hash", "node", "keys"]
+                if signed:
+                    ends = np.arange(len(sig) + 1, dtype=np.int32) * sig.shape[1]
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((sig.ravel() >> _U64(32)).astype(np.uint32).view(np.int32))))
+                    names.append("signature")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>" + ", signature array<int>" * signed)
+
+
+def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting: str) -> DataFrame:
+    """Pairs (a, b, id_a, id_b) of ``labelled`` (key, node, id, class) that share a band, are of different classes and whose
+    signatures agree nearly as much as ``similarity``. Large bands are dealt over blocks, of which each pair meets once."""
+    nodes = labelled.select("node", "id").distinct()
+    texts = docs.select("doc_id", "text").join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    signed = stash(sketch(texts, weighting, signed=True).select("node", "signature").dropDuplicates(["node"]), "signatures")
+    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
+
+    sizes = labelled.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = labelled.join(sizes, "key").withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    blocks = dealt.join(signed, "node").select("key", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "node", "id", "class", "signature")
+    kind = labelled.schema["id"].dataType.simpleString()
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, group, block = (table.column(c).to_numpy() for c in ("node", "class", "_b"))
+        sig = table.column("signature").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        alike = np.zeros((len(left), len(right)), np.uint16)
+        for k in range(sig.shape[1]):
+            alike += sig[left, k][:, None] == sig[right, k][None, :]
+        fine = (alike >= least * sig.shape[1]) & (group[left][:, None] != group[right][None, :])
+        if p == q:
+            fine &= node[left][:, None] < node[right][None, :]
+        i, j = np.nonzero(fine)
+        a, b = left[i], right[j]
+        low = node[a] < node[b]
+        first, second = np.where(low, a, b), np.where(low, b, a)
+        return pa.table({"a": node[first], "b": node[second], "id_a": table.column("id").take(pa.array(first)), "id_b": table.column("id").take(pa.array(second))})
+
+    return blocks.groupBy("key", "p", "q").applyInArrow(meet, f"a long, b long, id_a {kind}, id_b {kind}").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str = "set") -> DataFrame:
@@ -236,8 +281,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "s
             centre = labelled.groupBy("key").agg(F.min_by(F.struct("node", "id", "class"), F.struct(F.xxhash64("node", F.lit(step)), "node")).alias("c"))
             met = labelled.join(centre, "key").where(F.col("class") != F.col("c.class")).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
         else:
-            other = labelled.select("key", F.col("node").alias("a"), F.col("id").alias("id_a"), F.col("class").alias("_other"))
-            met = labelled.select("key", F.col("node").alias("b"), F.col("id").alias("id_b"), "class").join(other, "key").where("class <> _other AND a < b").select("a", "b", "id_a", "id_b")
+            met = agreeing(labelled, docs, similarity, weighting)
         pairs = met.distinct()
         if step:
             same = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -378,3 +378,20 @@ def test_packed_sequences_hold_the_texts(spark, real):
             end += length
         assert end <= 2048
     assert len(seq) == brute_bins([r.length for r in rows], 2048)
+
+
+def test_alike_but_not_enough(spark):
+    """Many texts near one base, most of them not near each other: classes come through the base."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = []
+    for k in range(120):
+        t = list(base)
+        for _ in range(rnd.choice([2, 3, 5, 7])):
+            t[rnd.randrange(150)] = word()
+        texts.append(" ".join(t))
+    texts.append(" ".join(base))
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, *texts)).collect()}
+    want = brute_classes(dict(enumerate(texts)))
+    assert got == want and len(set(want.values())) > 1
