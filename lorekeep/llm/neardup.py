@@ -37,6 +37,8 @@ BANDS, ROWS = 30, 6
 #: Rounds of stars before what still shares bands across classes is compared in blocks.
 ROUNDS = 1
 BLOCK = 1024
+#: Coordinates of the longer signatures that are compared there, of 16 bits each.
+LONG = 384
 #: Agreement of signatures from which a pair's texts are compared: 3.5 standard deviations under the similarity.
 SLACK = 3.5
 
@@ -135,7 +137,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> DataFrame:
-    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words) and, if asked, the signature."""
+    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words) and, if asked, a long signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -152,21 +154,21 @@ def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> Dat
                     at = np.flatnonzero(new)
                     weights = np.diff(np.append(at, len(s))).astype(np.float64)
                     s, n = s[at], np.bincount(owner[at], minlength=len(n))
-                sig = signatures(s, n, BANDS * ROWS, weights)
-                keys = band_keys(sig).astype(np.int64)
+                keys = band_keys(signatures(s, n, BANDS * ROWS, weights)).astype(np.int64)
                 flat = pa.array(keys[n > 0].ravel())
                 offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(content_keys(words, counts).astype(np.int64)), lists]
                 names = ["doc_id", "text_hash", "node", "keys"]
                 if signed:
-                    ends = np.arange(len(sig) + 1, dtype=np.int32) * sig.shape[1]
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((sig.ravel() >> _U64(32)).astype(np.uint32).view(np.int32))))
+                    long = (signatures(s, n, LONG, weights) >> _U64(48)).astype(np.uint16).view(np.int16)
+                    ends = np.arange(len(long) + 1, dtype=np.int32) * LONG
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(long.ravel())))
                     names.append("signature")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>" + ", signature array<int>" * signed)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>" + ", signature array<smallint>" * signed)
 
 
 def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting: str) -> DataFrame:
@@ -174,13 +176,13 @@ def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting:
     signatures agree nearly as much as ``similarity``. Large bands are dealt over blocks, of which each pair meets once."""
     nodes = labelled.select("node", "id").distinct()
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    signed = stash(sketch(texts, weighting, signed=True).select("node", "signature").dropDuplicates(["node"]), "signatures")
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
+    signed = stash(sketch(texts, weighting, signed=True).select("node", "signature", "keys").dropDuplicates(["node"]), "signatures")
+    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / LONG)
 
     sizes = labelled.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = labelled.join(sizes, "key").withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = dealt.join(signed, "node").select("key", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "node", "id", "class", "signature")
+    blocks = dealt.join(signed, "node").select("key", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "node", "id", "class", "signature", "keys")
     kind = labelled.schema["id"].dataType.simpleString()
 
     def meet(table: pa.Table) -> pa.Table:
@@ -196,6 +198,11 @@ def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting:
             fine &= node[left][:, None] < node[right][None, :]
         i, j = np.nonzero(fine)
         a, b = left[i], right[j]
+        # only in the first band that the two share
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        shared = keys[a] == keys[b]
+        own = keys[a, shared.argmax(axis=1)] == table.column("key")[0].as_py()
+        a, b = a[own], b[own]
         low = node[a] < node[b]
         first, second = np.where(low, a, b), np.where(low, b, a)
         return pa.table({"a": node[first], "b": node[second], "id_a": table.column("id").take(pa.array(first)), "id_b": table.column("id").take(pa.array(second))})
