@@ -36,7 +36,7 @@ _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _FINE = re.compile(f" ?[^\\W\\d_]+| ?(?:[^\\w{_WS}]|[\\d_])+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Words compiled into the lexicon (the most frequent ones of the corpus).
 LEXICON_WORDS = 100_000
-#: Words that a worker remembers before it forgets those that its latest batch doesn't hold.
+#: Words that a worker remembers before it forgets those that it hasn't met again.
 MEMORY_WORDS = 300_000
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -250,6 +250,8 @@ class Codec:
         #: Chunks (for those with a blank before them) and runs -> ids joined by commas, decoded bytes.
         self.chunks: dict[str, tuple[str, bytes]] = {}
         self.runs: dict[str, tuple[str, bytes]] = {}
+        #: Chunks that were met again since the last time that others were forgotten.
+        self.again: set[str] = set()
         self.lexicon_hits = 0
 
     def _runs(self, text: str) -> list[str]:
@@ -266,7 +268,8 @@ class Codec:
             self.runs = {r: self.runs[r] for r in runs if r in self.runs}
         known, special, bytes_of = self.runs, self.merges.special, self.merges.bytes_of
         new = [r for r in runs if r not in known]
-        split = [[] if r in special else self.words.findall(r) for r in new]
+        # a run of letters is a word
+        split = [[r] if r.isalpha() or r[1:].isalpha() and r[0] == " " else [] if r in special else self.words.findall(r) for r in new]
         flat = list(set().union(*split))
         raw = [w.encode() for w in flat]
         found = self.lexicon.lookup(raw) if self.lexicon else [None] * len(raw)
@@ -280,8 +283,11 @@ class Codec:
         """Ids joined by commas, and decoded bytes, of each text."""
         split = [chunks_of(t) for t in texts]
         here = set().union(*[s[1:] for s in split if s is not None])
+        old = here & self.chunks.keys()
         if len(self.chunks) > MEMORY_WORDS:
-            self.chunks = {c: self.chunks[c] for c in here if c in self.chunks}
+            self.chunks = {c: self.chunks[c] for c in self.again | old}
+            self.again = set()
+        self.again |= old
         chunks = self.chunks
         new = {c: self._runs(" " + c) for c in here if c not in chunks}
         first = [self._runs(t if s is None else s[0]) for t, s in zip(texts, split, strict=True)]
