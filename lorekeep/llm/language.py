@@ -23,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import by_size, crc_mod, mix64, read, texts_of
+from lorekeep.llm.common import bounded_sample, by_size, crc_mod, mix64, read, texts_of
 
-#: Labelled documents that the model is trained on, at most, dealt evenly over the languages.
+#: Labelled documents that the model is trained on, about, dealt evenly over the languages.
 TRAIN_DOCS = 1600
 #: Words of them that training takes at most, evenly over the documents' segments.
 TRAIN_WORDS = 400_000
@@ -229,12 +229,9 @@ def pair_posteriors(score: np.ndarray, p: np.ndarray, inner: np.ndarray, trans:
 
 
 def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """A bounded sample of labelled documents (text, lang), as many of each language, by hash order."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    picked = known.withColumn("_nth", nth).where(F.col("_nth") <= most)
-    # round robin over the languages: the bound holds for any number of them
-    return picked.orderBy("_nth", "lang").limit(most).select("text", "lang")
+    """A bounded sample of labelled documents (text, lang), as even over the languages as can be."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return bounded_sample(known, "lang", F.col("doc_id"), most).select("text", "lang")
 
 
 def label_words(text: str, model: Model) -> list[tuple[str, str]]:
@@ -305,8 +302,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    rows = sample(docs, most).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    rows = sorted(set((r.text, r.lang) for r in sample(docs, most).collect()))
+    return fit([t for t, _ in rows], [lang for _, lang in rows])
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
