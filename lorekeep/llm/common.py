@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,15 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def importable(spark: SparkSession) -> None:
+    """Put this package's folder on the Python workers' path, where they share it (one machine, or a shared folder)."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
