@@ -37,7 +37,7 @@ CELL = 2.5
 RECALL = 0.95
 #: Queries of the sample that fits the number of probes.
 SAMPLE = 200
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536
 #: All distinct vectors in one bucket each time if there are no more than this: the search is exact then.
 SMALL = 2_000
 _STEPS = np.array(list(itertools.product((0, 1, -1), repeat=HASHES)), np.int64)  # the bucket itself is first
