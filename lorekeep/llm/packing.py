@@ -13,6 +13,7 @@ pieces; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -31,8 +32,8 @@ from lorekeep.llm.common import by_size, read, stash, texts_of
 CAPACITY = 2048
 END_ID = 0
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Chunks, and pieces, that a worker remembers before it forgets those that its latest batch doesn't hold.
-MEMORY_CHUNKS = 400_000
+#: Chunks, and pieces, that a worker remembers before it forgets those that it hasn't met again.
+MEMORY_CHUNKS = 600_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED_ROWS = 50_000
 
@@ -129,15 +130,39 @@ class Chunks:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Whether a token ends a word.
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Chunks that were met again since the last time that others were forgotten.
+        self.again: set[str] = set()
+
+    def _encode(self, pieces: list[str], together: bool) -> None:
+        """Ids of new pieces. Pieces of letters are words of their own, so many go as one text; a word's last token alone
+        ends in the end-of-word mark."""
+        for a in range(0, len(pieces), 2048):
+            some = pieces[a : a + 2048]
+            if together:
+                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(some):
+                    raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                    self.pieces.update(zip(some, (raw[x:y] for x, y in itertools.pairwise([0, *cuts])), strict=True))
+                    continue
+            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.pieces[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def run(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         here = set().union(*split)
+        old = here & self.chunks.keys()
         if len(self.chunks) > MEMORY_CHUNKS:
-            self.chunks = {c: self.chunks[c] for c in here if c in self.chunks}
+            self.chunks = {c: self.chunks[c] for c in self.again | old}
+            self.again = set()
+        self.again |= old
         chunks = self.chunks
         new = {c: runs_of(c) for c in here if c not in chunks}
         parts = set().union(*new.values())
@@ -145,11 +170,8 @@ class Chunks:
             self.pieces = {p: self.pieces[p] for p in parts if p in self.pieces}
         pieces = self.pieces
         unseen = [p for p in parts if p not in pieces]
-        for a in range(0, len(unseen), 4096):
-            some = unseen[a : a + 4096]
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        self._encode([p for p in unseen if p.isalpha()], together=True)
+        self._encode([p for p in unseen if not p.isalpha()], together=False)
         for c, runs in new.items():
             chunks[c] = pieces[runs[0]] if len(runs) == 1 else b"".join([pieces[p] for p in runs])
         get = chunks.__getitem__
