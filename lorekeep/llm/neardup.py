@@ -13,9 +13,9 @@ lost, and a large group of texts that are alike but not alike enough makes no ro
 the start.
 
 Cases: words are split at white space; a text of one to four words is a single shingle; texts without words (null
-or empty) are copies of each other; rows without doc_id take part as exact copies only and get their class's id;
-the class id is the least doc_id of the class; repeated rows share a class; an empty table gives an empty result;
-further columns are ignored.
+or empty) are copies of each other; rows without doc_id are compared like all others and get their class's id;
+the class id is the least doc_id of the class (null if none of its rows has one); repeated rows share a class; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import by_size, mix64, read, stash, texts_of, word_hashes
@@ -136,8 +136,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def row_key() -> Column:
+    """A key of a row's doc_id and text, which rows without doc_id have too. Equal keys of different rows do no harm:
+    verify() compares the keys of the words."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """row, text: the texts under their rows' keys; those of rows without doc_id once each."""
+    texts = docs.select("doc_id", row_key().alias("row"), "text")
+    return texts.where("doc_id IS NOT NULL").unionByName(texts.where("doc_id IS NULL").dropDuplicates(["row"])).select("row", "text")
+
+
 def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> DataFrame:
-    """doc_id, text_hash, node (key of the words), keys (of the bands; empty without words) and, if asked, a long signature."""
+    """doc_id, text_hash, row (its key), node (key of the words), keys (of the bands; empty without words) and, if asked, a long signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,8 +170,8 @@ def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> Dat
                 flat = pa.array(keys[n > 0].ravel())
                 offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(content_keys(words, counts).astype(np.int64)), lists]
-                names = ["doc_id", "text_hash", "node", "keys"]
+                columns = [batch.column("doc_id"), batch.column("text_hash"), batch.column("row"), pa.array(content_keys(words, counts).astype(np.int64)), lists]
+                names = ["doc_id", "text_hash", "row", "node", "keys"]
                 if signed:
                     long = (signatures(s, n, LONG, weights) >> _U64(48)).astype(np.uint16).view(np.int16)
                     ends = np.arange(len(long) + 1, dtype=np.int32) * LONG
@@ -168,14 +180,14 @@ def sketch(docs: DataFrame, weighting: str = "set", signed: bool = False) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>" + ", signature array<smallint>" * signed)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), row_key().alias("row")).mapInArrow(run, f"doc_id {kind}, text_hash long, row long, node long, keys array<long>" + ", signature array<smallint>" * signed)
 
 
 def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting: str) -> DataFrame:
     """Pairs (a, b, id_a, id_b) of ``labelled`` (key, node, id, class) that share a band, are of different classes and whose
     signatures agree nearly as much as ``similarity``. Large bands are dealt over blocks, of which each pair meets once."""
     nodes = labelled.select("node", "id").distinct()
-    texts = docs.select("doc_id", "text").join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text", row_key().alias("_row")).join(nodes.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi")
     signed = stash(sketch(texts, weighting, signed=True).select("node", "signature", "keys").dropDuplicates(["node"]), "signatures")
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / LONG)
 
@@ -183,7 +195,6 @@ def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting:
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = labelled.join(sizes, "key").withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = dealt.join(signed, "node").select("key", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "node", "id", "class", "signature", "keys")
-    kind = labelled.schema["id"].dataType.simpleString()
 
     def meet(table: pa.Table) -> pa.Table:
         node, group, block = (table.column(c).to_numpy() for c in ("node", "class", "_b"))
@@ -207,7 +218,7 @@ def agreeing(labelled: DataFrame, docs: DataFrame, similarity: float, weighting:
         first, second = np.where(low, a, b), np.where(low, b, a)
         return pa.table({"a": node[first], "b": node[second], "id_a": table.column("id").take(pa.array(first)), "id_b": table.column("id").take(pa.array(second))})
 
-    return blocks.groupBy("key", "p", "q").applyInArrow(meet, f"a long, b long, id_a {kind}, id_b {kind}").distinct()
+    return blocks.groupBy("key", "p", "q").applyInArrow(meet, "a long, b long, id_a long, id_b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str = "set") -> DataFrame:
@@ -240,9 +251,9 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str
                         out_b.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    text = docs.select("doc_id", "text")
-    right = pairs.join(text.withColumnsRenamed({"doc_id": "id_b", "text": "text_b"}), "id_b")
-    full = right.join(text.withColumnsRenamed({"doc_id": "id_a", "text": "text_a"}), "id_a").select("a", "b", "text_a", "text_b")
+    text = keyed_texts(docs)
+    right = pairs.join(text.withColumnsRenamed({"row": "id_b", "text": "text_b"}), "id_b")
+    full = right.join(text.withColumnsRenamed({"row": "id_a", "text": "text_a"}), "id_a").select("a", "b", "text_a", "text_b")
     return full.sortWithinPartitions("a").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -267,11 +278,12 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), "class").union(stars.select(F.col("class").alias("node"), "class").distinct())
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """doc_id, text_hash, class_id of every row: documents linked, directly or through others, by a similarity of that much."""
+def labels(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """doc_id, text_hash, class (one of its nodes), class_id of every row: documents linked, directly or through others,
+    by a similarity of that much."""
     signed = stash(sketch(docs, weighting), "signed")
-    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "nodes")
-    banded = nodes.where("id IS NOT NULL").select("node", "id", F.explode("keys").alias("key"))
+    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("id"), F.first("keys").alias("keys")), "nodes")
+    banded = nodes.select("node", "id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("key")
     # only nodes of bands that several share; the rest is done
     members = stash(banded.join(shared, "key").select("key", "node", "id"), "members")
@@ -304,16 +316,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "s
     if label is None:
         label = members.sparkSession.createDataFrame([], "node long, class long")
     # of each class, the least doc_id
-    known = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("class", "node").alias("class"))
-    least = known.groupBy("class").agg(F.min("id").alias("class_id"))
-    by_node = known.join(least, "class").select("node", "class_id")
-    return signed.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", "class_id")
+    known = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
+    least = known.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    by_node = known.join(least, "class").select("node", "class", "class_id")
+    return signed.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", "class", "class_id")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """doc_id, text_hash, class_id of every row."""
+    return labels(docs, similarity, weighting).drop("class")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns: of each class the row of least doc_id (then text hash), once."""
-    labelled = stash(classes(docs), "labelled")
-    first = labelled.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    """``docs`` with all its columns: of each class the row of least doc_id (then text hash), once; a row without doc_id
+    only where no row of the class has one."""
+    labelled = stash(labels(docs), "labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = labelled.groupBy("class").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
     rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left_semi")
     repeated = labelled.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows

@@ -281,6 +281,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_near_duplicates_without_doc_id(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(120)] for _ in range(4)]
+    near = [" ".join([*b[:60], "changed", *b[61:]]) for b in base]
+    base = [" ".join(b) for b in base]
+    # classes with an id on one side only, without any, and alone; repeated rows
+    texts = [base[0], near[0], base[1], near[1], base[2], base[2], base[3], "", None]
+    d = docs(spark, *texts, ids=[5, None, None, None, None, None, 9, None, None])
+    got = Counter((r.doc_id, r.class_id) for r in neardup.classes(d).collect())
+    assert got == Counter({(5, 5): 1, (None, 5): 1, (9, 9): 1, (None, None): 6})
+    assert len({r["class"] for r in neardup.labels(d).collect()}) == 5
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(d).collect()]
+    assert len(kept) == 5 and {(5, base[0]), (9, base[3]), (None, base[2])} <= set(kept)
+    assert len({(None, base[1]), (None, near[1])} & set(kept)) == 1 and len({(None, ""), (None, None)} & set(kept)) == 1
+    # large star groups of rows without doc_id go through the block comparison too
+    many = [" ".join([*base[0].split()[:k], word(), *base[0].split()[k + 1 :]]) for k in range(0, 120, 4)]
+    assert len(neardup.keep_first(docs(spark, *many, ids=[None] * len(many))).collect()) == len(set(brute_classes(dict(enumerate(many))).values()))
+
+
 def test_weighted_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
