@@ -6,8 +6,8 @@ their pointwise mutual information reaches the share DISCLOSURE of e's own infor
 
     log(P(t, e) / (P(t) P(e))) >= DISCLOSURE * -log P(e),   which is   P(e | t) >= P(e) ** (1 - DISCLOSURE),
 
-with document probabilities, and with LEAST_CONTEXTS different contexts as support, so that copies of one text
-prove nothing. Disclosing terms become spans of kind ``term`` wherever they occur outside base spans. Sanitising
+with document probabilities, and with LEAST_CONTEXTS different contexts as support, counted over all mentions, in
+one document or many, so that copies of one text prove nothing. Disclosing terms become spans of kind ``term`` wherever they occur outside base spans. Sanitising
 replaces base spans by their kind and generalises terms to a class, or removes those that all but name the entity.
 
 Cases: a null text counts as empty and has no spans; repeated rows are treated alike (they share one context, but
@@ -188,8 +188,9 @@ def disclosing(docs: DataFrame) -> DataFrame:
     total = docs.count()
     if not total:
         return docs.sparkSession.createDataFrame([], "term string, p double")
-    pair = found.where("term IS NOT NULL").groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
-    joint = pair.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    pair = found.where("term IS NOT NULL")
+    wide = pair.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    joint = wide.join(pair.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te")), ["entity", "term"])
     joint = stash(joint, "joint")
     n_e = found.where("term IS NULL").select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_t = presence(docs, joint.select("term").distinct())

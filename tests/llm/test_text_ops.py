@@ -157,6 +157,20 @@ def test_disclosing_terms(spark):
     assert out[6].base_sha256 == hashlib.sha256(b"email:10:21").hexdigest() and out[6].spans == "email:10:21"
 
 
+def test_contexts_of_one_document_all_count(spark):
+    mentions = [f"first{k} lorem{k} Zaphod mail zb@h2.org now word{k} last{k}" for k in range(4)]
+    gap = " ".join(f"gap{k}" for k in range(20))
+    plain = [f"plain text now {k} mail" for k in range(300)]
+    one = docs(spark, f" {gap} ".join(mentions), *plain)
+    assert "zaphod" in {r.term for r in pii.disclosing(one).collect()}
+    # a passage that two documents share doesn't hide their own contexts
+    shared = "same words zb@h2.org shared passage"
+    two = docs(spark, *[f" {gap} ".join([shared, *mentions[k : k + 2]]) for k in (0, 2)], *plain)
+    assert "zaphod" in {r.term for r in pii.disclosing(two).collect()}
+    same = docs(spark, *[mentions[0]] * 5, *plain)  # one context, in five documents
+    assert "zaphod" not in {r.term for r in pii.disclosing(same).collect()}
+
+
 def test_terms_beyond_the_broadcast_give_the_same(spark, monkeypatch):
     d = docs(spark, *[f"{random.Random(k).random()} lorem{k} Zaphod mail zb@h2.org word{k}" for k in range(6)], *[f"plain {k}" for k in range(50)])
     want = sorted(map(str, pii.find(d).drop("_row").collect()))
