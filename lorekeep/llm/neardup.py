@@ -225,7 +225,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str
     """Those of ``pairs`` (a, b, id_a, id_b) whose texts are as similar: a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int, tuple] | None = None
+        known: tuple[int, np.ndarray, np.ndarray] | None = None  # of a text whose own key is a
 
         def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
             words, counts = word_hashes([text])
@@ -236,11 +236,13 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str
             for batch in by_size(whole, "text_b", 4 << 20):
                 out_a, out_b = [], []
                 for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                    if known is None or known[0] != a:
-                        known = (a, features(ta.as_py() or ""))
-                    ka, sa, na = known[1]
+                    left = known if known and known[0] == a else features(ta.as_py() or "")
+                    if left[0] != a:  # another text under the same key
+                        continue
+                    known = left
+                    _, sa, na = known
                     kb, sb, nb = features(tb.as_py() or "")
-                    if ka != a or kb != b:  # another text with the same doc_id
+                    if kb != b:
                         continue
                     at = np.searchsorted(sa, sb)
                     same = (at < len(sa)) & (sa[np.minimum(at, len(sa) - 1)] == sb) if len(sa) else np.zeros(len(sb), bool)

@@ -315,6 +315,18 @@ def test_near_duplicates_without_doc_id(spark):
     assert len(neardup.keep_first(docs(spark, *many, ids=[None] * len(many))).collect()) == len(set(brute_classes(dict(enumerate(many))).values()))
 
 
+def test_verify_passes_over_another_text_under_the_same_key(spark, monkeypatch):
+    words = [f"w{k}" for k in range(100)]
+    right, wrong, near = " ".join(words), "quite another text with some words", " ".join([*words, "more"])
+    a, b = (int(neardup.content_keys(*neardup.word_hashes([t])).astype(np.int64)[0]) for t in (right, near))
+    rows = [(1, wrong), (1, right), (2, near)]
+    pairs = spark.createDataFrame([(a, b, 1, 2)], "a long, b long, id_a long, id_b long")
+    monkeypatch.setattr(neardup, "keyed_texts", lambda d: d)
+    for some in (rows, rows[::-1]):
+        texts = spark.createDataFrame(some, "row long, text string").coalesce(1)
+        assert [tuple(r) for r in neardup.verify(pairs, texts, 0.8).collect()] == [(a, b)]
+
+
 def test_weighted_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
