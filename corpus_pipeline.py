@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorekeep.llm import bpe, lines, neardup, packing, pii, quality
 from lorekeep.llm.common import read, stash
 
-#: No SQL expresses these stages; tests hold them against brute force.
+#: No SQL expresses these stages as a whole.
 ORACLE_SQL = None
 
 

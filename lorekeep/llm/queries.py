@@ -30,11 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op3_pii": pii.op3_pii,
-    "op4_quality_rules": rules.op4_quality_rules,
-    "op5_nearest": ann.op5_nearest,
-    "op6_language": language.op6_language,
-    "op7_near_dup": neardup.op7_near_dup,
     "op8_line_dedup": lines.SQL,
     "op9_url_filter": urls.SQL,
 }

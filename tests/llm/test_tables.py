@@ -112,6 +112,12 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert wrong.count() == 0
 
 
+def test_oracles_are_sql():
+    from lorekeep.llm import queries
+
+    assert all(isinstance(sql, str) for sql in queries.ORACLE.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
