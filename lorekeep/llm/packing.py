@@ -13,27 +13,29 @@ pieces; further columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe import tokenizer_path
-from lorekeep.llm.common import by_size, read, stash, texts_of
+from lorekeep.llm.common import by_size, read, stash
+from lorekeep.llm.words import Remembered, cut, spread
 
 CAPACITY = 2048
 END_ID = 0
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Chunks, and pieces, that a worker remembers before it forgets those that it hasn't met again.
-MEMORY_CHUNKS = 600_000
+#: Words that a worker remembers before it forgets those that the present batch hasn't.
+MEMORY_WORDS = 500_000
+#: Characters whose lower case is of another length or depends on its place, and the beginning of special tokens: texts
+#: with them go to the library as they are.
+CAREFUL = "[\u0130\u03a3]|<\\|"
 #: Pieces of one length that are ranked in one task, about.
 RANKED_ROWS = 50_000
 
@@ -104,24 +106,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-#: Runs of letters, and of other characters but white space: words of the vocabulary never reach across, but for
-#: contractions. Neither class need be exact, as the library splits each piece again.
-_RUNS = re.compile(r"[^\W\d_]+|(?:[^\w\s]|[\d_])+")
-#: Characters at which that shortcut isn't taken: apostrophes (contractions), separators that Python alone takes for
-#: white space, and letters whose lower case depends on their place or has two characters.
-_CAREFUL = re.compile("['\x1c-\x1f\u0130\u03a3]|<\\|")
-
-
-def runs_of(text: str) -> list[str]:
-    """Pieces of a text without blanks or newlines whose ids, one after the other, are the text's."""
-    if _CAREFUL.search(text) or not unicodedata.is_normalized("NFC", text):
-        return [text]
-    return _RUNS.findall(text.lower())
-
-
-class Chunks:
-    """Ids of texts by the tokenizers library. What stands between blanks or newlines is remembered, and so are its
-    pieces, so that the library sees a piece once in a while only."""
+class Encoder:
+    """Ids of texts by the tokenizers library, which sees each distinct word once in a while only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,52 +120,43 @@ class Chunks:
         #: Whether a token ends a word.
         self.last = np.zeros(1 + max(vocabulary.values()), bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        #: Chunks that were met again since the last time that others were forgotten.
-        self.again: set[str] = set()
-
-    def _encode(self, pieces: list[str], together: bool) -> None:
-        """Ids of new pieces. Pieces of letters are words of their own, so many go as one text; a word's last token alone
-        ends in the end-of-word mark."""
-        for a in range(0, len(pieces), 2048):
-            some = pieces[a : a + 2048]
-            if together:
-                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) == len(some):
-                    raw, cuts = ids.tobytes(), (4 * ends).tolist()
-                    self.pieces.update(zip(some, (raw[x:y] for x, y in itertools.pairwise([0, *cuts])), strict=True))
-                    continue
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.pieces[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def run(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        here = set().union(*split)
-        old = here & self.chunks.keys()
-        if len(self.chunks) > MEMORY_CHUNKS:
-            self.chunks = {c: self.chunks[c] for c in self.again | old}
-            self.again = set()
-        self.again |= old
-        chunks = self.chunks
-        new = {c: runs_of(c) for c in here if c not in chunks}
-        parts = set().union(*new.values())
-        if len(self.pieces) > MEMORY_CHUNKS:
-            self.pieces = {p: self.pieces[p] for p in parts if p in self.pieces}
-        pieces = self.pieces
-        unseen = [p for p in parts if p not in pieces]
-        self._encode([p for p in unseen if p.isalpha()], together=True)
-        self._encode([p for p in unseen if not p.isalpha()], together=False)
-        for c, runs in new.items():
-            chunks[c] = pieces[runs[0]] if len(runs) == 1 else b"".join([pieces[p] for p in runs])
-        get = chunks.__getitem__
-        for s in split:
-            yield b"".join(map(get, s))
-
-
-_CHUNKS: dict[str, Chunks] = {}
+        self.known = Remembered(MEMORY_WORDS)
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words. Many go as one text: a word's last token alone ends in the end-of-word mark."""
+        ids, count = [], []
+        for a in range(0, len(words), 4096):
+            some = words[a : a + 4096].to_pylist()
+            got = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            n = np.diff(np.flatnonzero(self.last[got]) + 1, prepend=0)
+            if len(n) != len(some) or n.sum() != len(got):
+                each = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                got, n = np.array([i for e in each for i in e], np.int32), np.array([len(e) for e in each])
+            ids.append(got)
+            count.append(n)
+        return np.concatenate(ids), np.concatenate(count)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, CAREFUL).to_numpy(zero_copy_only=False)
+        normal = unicodedata.is_normalized
+        plain = texts.to_pylist()
+        if not normal("NFC", "".join(plain)):  # a part of a normalised text is normalised
+            whole = whole | np.array([not normal("NFC", t) for t in plain])
+        words, per_text = cut(pc.if_else(pa.array(whole), "", texts), lower=True, one_digit=True)
+        ids, n = self.known.look_up(words, self._new)
+        count = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(per_text)], prepend=0)
+        if not whole.any():
+            return ids, count
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for k in np.flatnonzero(whole).tolist():
+            parts[k] = np.array(self.library.encode(plain[k], add_special_tokens=False).ids, np.int32)
+            count[k] = len(parts[k])
+        return np.concatenate(parts), count
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -187,25 +164,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     and, if asked, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _CHUNKS:
-            _CHUNKS[tokenizer] = Chunks(tokenizer)
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = Encoder(tokenizer)
         for whole in batches:
-            for batch in by_size(whole, "text"):
-                row, start, length, crc, ids = [], [], [], [], []
-                for k, raw in enumerate(_CHUNKS[tokenizer].run(texts_of(batch.column("text")))):
-                    raw += END_ID.to_bytes(4, "little")
-                    for a in range(0, len(raw), 4 * capacity):
-                        part = raw[a : a + 4 * capacity]
-                        row.append(k)
-                        start.append(a // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").tolist())
-                columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([a // capacity for a in start], pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            for batch in by_size(whole, "text", 4 << 20):
+                ids, count = _ENCODERS[tokenizer].ids(batch.column("text"))
+                size = count + 1
+                full, ends = np.full(int(size.sum()), END_ID, "<u4"), np.cumsum(size)
+                full[spread(ends - size, count)] = ids
+                # a document's pieces: all of the capacity but the last one
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), many)
+                piece = spread(np.zeros(len(size), np.int64), many)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                at = (ends - size)[row] + start
+                raw = memoryview(full).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1:]), pa.int32()), pa.array(full.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
