@@ -29,10 +29,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. The cluster names it; only where it names none
-    (single-machine tests) is a folder of this machine used."""
+    """The folder that the driver and all executors share. The cluster names it; only on a single machine, where no name is
+    set, a folder of this machine is used."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = f"file://{tempfile.gettempdir()}/lorekeep-{spark.sparkContext.applicationId}"
@@ -40,11 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_FOLDERS: set[str] = set()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again. This cuts the lineage, and what was
-    written outlives any executor."""
+    written outlives any executor. The application's tables go when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/lorekeep-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _FOLDERS.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,15 +83,22 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def bounded_sample(rows: DataFrame, by: str, key: Column, most: int) -> DataFrame:
-    """About ``most`` of ``rows`` at most, as evenly over the values of ``by`` (few) as their numbers allow, by the hash of
-    ``key``. A filter: no row is shuffled, and where all rows fit they are all there."""
-    counts = sorted((r.n, r["b"]) for r in rows.groupBy(F.col(by).alias("b")).agg(F.count("*").alias("n")).collect() if r["b"] is not None)
-    left, keep = most, F.lit(False)
-    for k, (n, value) in enumerate(counts):
-        share = min(n, left // (len(counts) - k))
-        left -= share
-        keep = keep | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < F.lit(math.ceil(share / n * (1 << 40)))))
+#: Values over which bounded_sample() deals its rows: the most frequent ones, so many at most.
+MOST_VALUES = 1000
+
+
+def bounded_sample(rows: DataFrame, by: str, key: Column, most: int, size: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """About ``most`` of ``rows`` at most, and about ``most_bytes`` of ``size`` if given, as evenly over the values of ``by``
+    as their numbers allow, by the hash of ``key``. A filter: no row is shuffled, and where all rows fit they are all there."""
+    total = F.sum(F.lit(0) if size is None else size)
+    found = rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("b")).agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).alias("s"))
+    counts = sorted((r.n, r["b"], r.s) for r in found.orderBy(F.desc("n"), "b").limit(MOST_VALUES).collect())
+    left, room, keep = most, most_bytes, F.lit(False)
+    for k, (n, value, s) in enumerate(counts):
+        share, space = min(n, left // (len(counts) - k)), room // (len(counts) - k)
+        part = min(share / n, space / max(s, 1), 1.0)
+        left, room = left - share, room - min(s, space)
+        keep = keep | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < F.lit(math.ceil(part * (1 << 40)))))
     return rows.where(keep)
 
 
@@ -99,24 +118,6 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (by white space) of all texts in a row, and the count of words of each text."""
-    import xxhash
-
-    words: list[str] = []
-    counts = np.empty(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        w = t.split()
-        counts[k] = len(w)
-        words += w
-    if not words:
-        return np.empty(0, np.uint64), counts
-    enc = pa.array(words, pa.string()).dictionary_encode()
-    h = xxhash.xxh64_intdigest
-    table = np.fromiter((h(w) for w in enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
-    return table[enc.indices.to_numpy(zero_copy_only=False)], counts
-
-
 def by_size(batch: pa.RecordBatch, column: str, most: int = 3 << 20):
     """Slices of ``batch`` whose texts hold about ``most`` bytes at most (a longer text stands alone), so that
     memory doesn't follow the number of rows that Arrow puts in a batch."""
