@@ -10,7 +10,8 @@ into segments that are joined across documents, so that the transitions see swit
 forward-backward over all words of a batch at once: products of transfer matrices within blocks, then a chain
 over blocks.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; words are runs of letters, in lower case;
+Cases: a null text, or one without a letter, is ``und`` with score 0; words are runs of letters (Unicode's, so neither
+fractions nor Roman numerals count), in lower case;
 without any labelled document every text is ``und``; ties go to the smaller language name; repeated rows are
 labelled alike; an empty table gives an empty result; further columns are ignored.
 """
@@ -30,6 +31,8 @@ from lorekeep.llm.common import bounded_sample, by_size, crc_mod, mix64, read, t
 
 #: Labelled documents that the model is trained on, about, dealt evenly over the languages.
 TRAIN_DOCS = 1600
+#: Their bytes, about, which is what the driver holds.
+TRAIN_BYTES = 64 << 20
 #: Words of them that training takes at most, evenly over the documents' segments.
 TRAIN_WORDS = 400_000
 SEGMENT, SEQUENCE, EPOCHS, BATCH = 12, 48, 4, 256
@@ -38,14 +41,18 @@ BUCKETS = 1 << 16
 #: Words in the lexicon at most; each has weights of its own.
 LEXICON_WORDS = 20_000
 UNKNOWN = "und"
-#: Words whose scores a worker remembers before it forgets them all.
-MEMORY_WORDS = 300_000
+#: Words whose scores a worker remembers before it forgets them all, and their letters.
+MEMORY_WORDS, MEMORY_LETTERS = 300_000, 16 << 20
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, and numerals that are no decimal digits (², ½, Ⅷ), which aren't letters.
+_NEARLY = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    found = _NEARLY.findall(text.lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def char_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +105,17 @@ class Model:
 
 
 def posteriors(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marginals of every word by forward-backward. ``first`` marks the words that begin a text. All texts form one
-    sequence in which a text's beginning forgets what was before it; blocks of the sequence run side by side."""
+    """Marginals of every word by forward-backward. ``first`` marks the words that begin a text."""
+    return forward_backward(score, first, transitions, start)[0]
+
+
+def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every word, and the expected number of each transition (from x to) between words of one text. All
+    texts form one sequence in which a text's beginning forgets what was before it; blocks of the sequence run side by
+    side."""
     n, m = score.shape
     if not n:
-        return score
+        return score, np.zeros((m, m))
     emit = np.exp(score - score.max(axis=1, keepdims=True))
     trans, init = np.exp(transitions - transitions.max()), np.exp(start - start.max())
     width = max(1, int(np.sqrt(n)))  # words a block
@@ -129,7 +142,7 @@ def posteriors(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, st
         out_of[k] = b
         b = product[k] @ b
         b /= b.sum()
-    alpha = np.empty((blocks, width, m))
+    alpha, beta = np.empty((blocks, width, m)), np.empty((blocks, width, m))
     a = into
     for t in range(width):
         a = np.where(f[:, t, None], init, a @ trans) * e[:, t]
@@ -137,12 +150,18 @@ def posteriors(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, st
         alpha[:, t] = a
     b = out_of
     for t in range(width - 1, -1, -1):
-        alpha[:, t] *= b
+        beta[:, t] = b
         back = b * e[:, t]
         b = np.where(f[:, t, None], (back * init).sum(axis=1, keepdims=True), back @ trans.T)
         b /= b.sum(axis=1, keepdims=True)
-    out = alpha.reshape(-1, m)[:n]
-    return out / out.sum(axis=1, keepdims=True)
+    alpha, beta = alpha.reshape(-1, m)[:n], beta.reshape(-1, m)[:n]
+    out = alpha * beta
+    # p(x, y) of neighbours is forward(x) T(x, y) emit(y) backward(y), up to the pair's sum
+    inner = np.flatnonzero(~first)
+    inner = inner[inner > 0]
+    left, right = alpha[inner - 1], emit[inner] * beta[inner]
+    both = (left / ((left @ trans) * right).sum(axis=1, keepdims=True)).T @ right * trans
+    return out / out.sum(axis=1, keepdims=True), both
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
@@ -195,7 +214,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             local = np.repeat(np.arange(len(used)), begin[used + 1] - begin[used])
             base = np.stack([np.bincount(local, weights[index[span], k], len(used)) for k in range(m)], 1) * scale[used, None] + own[used] * can_own[used]
             score = base[inv]
-            p = posteriors(score, first, trans, start)
+            p, joint = forward_backward(score, first, trans, start)
             y = np.eye(m)[gold[pos]]
             diff = (p - y) / len(pos) * 1000
             by_word = np.stack([np.bincount(inv, diff[:, k], len(used)) for k in range(m)], 1)
@@ -204,9 +223,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             go = np.zeros_like(own)
             go[used] = by_word * can_own[used]
             descend(own, g_o, go, 0.1)
-            # pairs of neighbours: pseudo-posterior from the marginals' neighbours under the current transitions
             inner = np.flatnonzero(~first)
-            joint = pair_posteriors(score, p, inner, trans)
             real = np.zeros((m, m))
             np.add.at(real, (gold[pos[inner - 1]], gold[pos[inner]]), 1)
             descend(trans, g_t, (joint - real) / len(pos) * 1000, 0.1)
@@ -215,23 +232,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     return Model(languages, weights, lexicon, trans, start)
 
 
-def pair_posteriors(score: np.ndarray, p: np.ndarray, inner: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Expected transitions into the words ``inner``. In a chain p(a, b) is forward(a) T(a, b) emit(b) backward(b);
-    given both marginals and T, it is the only table of the form r(a) T(a, b) s(b) with these margins, which
-    alternate scaling finds."""
-    t = np.exp(trans - trans.max())
-    left, right = p[inner - 1] + 1e-12, p[inner] + 1e-12
-    r, s = np.ones_like(left), np.ones_like(right)
-    for _ in range(6):
-        r = left / (s @ t.T)
-        s = right / (r @ t)
-    return (r.T @ s) * t
-
-
 def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """A bounded sample of labelled documents (text, lang), as even over the languages as can be."""
+    """A bounded sample of labelled documents (text, lang), as even over the languages as can be: in documents and bytes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return bounded_sample(known, "lang", F.col("doc_id"), most).select("text", "lang")
+    return bounded_sample(known, "lang", F.xxhash64("doc_id", "text"), most, F.octet_length("text"), TRAIN_BYTES).select("text", "lang")
 
 
 def label_words(text: str, model: Model) -> list[tuple[str, str]]:
@@ -251,15 +255,17 @@ class Labeller:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
+        self.letters = 0
         self.table = np.zeros((0, len(model.languages)), np.float32)
 
     def run(self, texts: list[str]) -> tuple[list[str], list[float]]:
         m = self.model
         split = [words_of(t) for t in texts]
-        if len(self.place) > MEMORY_WORDS:
-            self.place, self.table = {}, self.table[:0]
+        if len(self.place) > MEMORY_WORDS or self.letters > MEMORY_LETTERS:
+            self.place, self.table, self.letters = {}, self.table[:0], 0
         new = list({w for s in split for w in s if w not in self.place})
         if new and m.languages:
+            self.letters += sum(map(len, new))
             self.place |= zip(new, range(len(self.place), len(self.place) + len(new)), strict=True)
             parts = [m.scores(new[a : a + 20_000]).astype(np.float32) for a in range(0, len(new), 20_000)]
             self.table = np.concatenate([self.table, *parts])
