@@ -8,7 +8,8 @@ their pointwise mutual information reaches the share DISCLOSURE of e's own infor
 
 with document probabilities, and with LEAST_CONTEXTS different contexts as support, counted over all mentions, in
 one document or many, so that copies of one text prove nothing. Disclosing terms become spans of kind ``term`` wherever they occur outside base spans. Sanitising
-replaces base spans by their kind and generalises terms to a class, or removes those that all but name the entity.
+replaces base spans by their kind and generalises terms to a class, or removes those that all but name the entity. Terms
+are words as the text has them, cut by one pattern everywhere and then put in lower case.
 
 Cases: a null text counts as empty and has no spans; repeated rows are treated alike (they share one context, but
 count as documents); an empty table gives an empty result; further columns are ignored.
@@ -17,6 +18,8 @@ count as documents); an empty table gives an empty result; further columns are i
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,9 +119,15 @@ def contexts(docs: DataFrame) -> DataFrame:
                     if not spans:
                         continue
                     d = _hash(f"{i}:{_hash(text)}")
+                    begins, ends = array("q"), array("q")
+                    for m in _free(text, spans):
+                        begins.append(m.start())
+                        ends.append(m.end())
                     for a, k, b in spans:
                         e = _hash(f"{KINDS[k]}:{_normal(k, text[a:b])}")
-                        near = _around(text, a, b, spans)
+                        before, after = bisect_right(ends, a), bisect_left(begins, b)
+                        around = (*range(max(0, before - WINDOW), before), *range(after, min(after + WINDOW, len(ends))))
+                        near = [text[begins[j] : ends[j]] for j in around]
                         c = _hash(" ".join(near))
                         doc.append(d)
                         entity.append(e)
@@ -134,52 +143,42 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, entity long, term string, context long")
 
 
-def _around(text: str, a: int, b: int, spans: list[tuple[int, int, int]]) -> list[str]:
-    """Up to WINDOW words on either side, none of which touches a base span. Looks at a bounded stretch of text that
-    grows until it holds them."""
+def _free(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The words of a text that touch no base span, in one pass over both."""
+    k, reach = 0, 0  # of the base spans that begin before a word's end: how many, and the furthest end
+    for m in _WORD.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m
 
-    def free(m: re.Match, shift: int) -> bool:
-        return not any(x < m.end() + shift and m.start() + shift < y for x, _, y in spans_near)
 
-    out = []
-    for before in (True, False):
-        reach = 32 * WINDOW
-        while True:
-            lo, hi = (max(0, a - reach), a) if before else (b, min(len(text), b + reach))
-            spans_near = [s for s in spans if s[0] < hi and s[2] > lo]
-            found = [m for m in _WORD.finditer(text[lo:hi]) if free(m, lo)]
-            cut = lo > 0 if before else hi < len(text)
-            if cut and found:  # the word at the cut may go on
-                found = found[1:] if before else found[:-1]
-            if len(found) >= WINDOW or not cut or reach > 1 << 16:
-                break
-            reach *= 4
-        out += [m[0] for m in (found[-WINDOW:] if before else found[:WINDOW])]
-    return out
+def words_in(text: str) -> set[str]:
+    """The different words of a text, in lower case."""
+    return {w.lower() for w in set(_WORD.findall(text))}
 
 
 def presence(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each of ``terms`` occurs, over all documents."""
+    """(term, n): in how many documents each of ``terms`` occurs, over all documents. Up to MOST_BROADCAST terms are looked
+    up where the texts are; of more, all words of all documents meet the terms in a join. Words are the same in both."""
     small = terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    if not small:
-        words = docs.select(F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0)))).alias("term"))
-        return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()})
+    wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()} if small else set())
+    if small and not wanted.value:
+        return docs.sparkSession.createDataFrame([], "term string, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        n: Counter = Counter()
-        look = wanted.value
         for whole in batches:
+            n: Counter = Counter()
             for batch in by_size(whole, "text"):
                 for text in texts_of(batch.column("text")):
-                    n.update(look.intersection(_WORD.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+                    n.update(wanted.value & words_in(text) if small else words_in(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
-    if not wanted.value:
-        return docs.sparkSession.createDataFrame([], "term string, n long")
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return found if small else found.join(terms, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
@@ -207,20 +206,9 @@ def generalised(word: str) -> str:
 
 def term_spans(text: str, terms, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Occurrences of ``terms`` that no base span touches."""
-    if not terms:
+    if not terms or terms.keys().isdisjoint(words_in(text)):
         return []
-    out, k = [], 0
-    reach = []  # of the base spans up to each, the furthest end
-    for s in base:
-        reach.append(max(s[2], reach[-1] if reach else 0))
-    for m in _WORD.finditer(text):
-        if m[0].lower() not in terms:
-            continue
-        while k < len(base) and base[k][0] < m.end():
-            k += 1
-        if not k or reach[k - 1] <= m.start():
-            out.append((m.start(), len(KINDS), m.end()))
-    return out
+    return [(m.start(), len(KINDS), m.end()) for m in _free(text, base) if m[0].lower() in terms]
 
 
 def sanitised(text: str, spans: list[tuple[int, int, int]], terms) -> str:
@@ -236,6 +224,14 @@ def sanitised(text: str, spans: list[tuple[int, int, int]], terms) -> str:
     return "".join([*out, text[at:]])
 
 
+def _words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in by_size(whole, "text"):
+            words = [sorted(words_in(t)) for t in texts_of(batch.column("text"))]
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(row, pa.int64())), pa.array([x for w in words for x in w], pa.string())], ["_key", "term"])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, clean (the sanitised text)."""
     return apply(docs, stash(disclosing(docs), "terms"))
@@ -254,8 +250,8 @@ def apply(docs: DataFrame, terms: DataFrame, carry: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast({r.term: r.p for r in terms.collect()} if small else {})
     if not small:  # each document gets the terms that it holds
         keyed = source.withColumn("_key", F.xxhash64("doc_id", "text"))
-        words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0)))).alias("term")).distinct()
-        own = words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("terms"))
+        own = keyed.select("_key", "text").mapInArrow(_words_of_rows, "_key long, term string").distinct().join(terms, "term")
+        own = own.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("terms"))
         source = keyed.join(own, "_key", "left").select("doc_id", "text", "_row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
