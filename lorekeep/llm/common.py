@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
-def importable(spark: SparkSession) -> None:
-    """Put this package's folder on the Python workers' path, where they share it (one machine, or a shared folder)."""
+#: Bytes of a batch that goes to a Python worker, about, where the session doesn't say otherwise: rows are of any length.
+BATCH_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Put this package's folder on the Python workers' path, where they share it (one machine, or a shared folder), and
+    bound the batches that they get in bytes."""
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
