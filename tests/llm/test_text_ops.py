@@ -82,6 +82,15 @@ def test_votes_equal_brute_force(real):
     assert rng is not None
 
 
+def test_ties_go_by_the_samples_order():
+    cos = np.array([[0.5, 0.9, 0.5 + 1e-13, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]])
+    assert quality.nearest(cos, 3).tolist() == [[0, 1, 2], [0, 1, 2]]
+    rng = np.random.default_rng(3)
+    cos = np.round(rng.random((50, 40)), 1)
+    want = [sorted(sorted(range(40), key=lambda j: (-row[j], j))[:7]) for row in cos]
+    assert quality.nearest(cos, 7).tolist() == want
+
+
 # ---- op2
 
 
@@ -172,12 +181,28 @@ def test_contexts_of_one_document_all_count(spark):
 
 
 def test_terms_beyond_the_broadcast_give_the_same(spark, monkeypatch):
-    d = docs(spark, *[f"{random.Random(k).random()} lorem{k} Zaphod mail zb@h2.org word{k}" for k in range(6)], *[f"plain {k}" for k in range(50)])
+    d = docs(spark, *[f"{random.Random(k).random()} lorem{k} Zaphod İstanbul-ΑΣ mail zb@h2.org word{k}" for k in range(6)], *[f"plain {k}" for k in range(50)])
     want = sorted(map(str, pii.find(d).drop("_row").collect()))
+    assert {"zaphod", "İstanbul-ΑΣ".lower()} <= {r.term for r in pii.disclosing(d).collect()}
     monkeypatch.setattr(pii, "MOST_BROADCAST", 0)
     assert sorted(map(str, pii.find(d).drop("_row").collect())) == want
 
 
+def test_contexts_equal_brute_force(spark):
+    """Words on either side, however far away; time that doesn't grow with the square of the spans."""
+    text = "one " + " " * 70_000 + "a@b.de " + "." * 70_000 + " two é three x c@d.ef,four'five +49123456789 six"
+    many = " ".join(f"w{k} u{k}@h.org x" for k in range(20_000))
+    d = docs(spark, text, many)
+    got = defaultdict(set)
+    for r in pii.contexts(docs(spark, text)).collect():
+        got[r.entity].add(r.term)
+    free = ["one", "two", "é", "three", "x", "four'five", "six"]
+    entity = lambda v, k: pii._hash(f"{pii.KINDS[k]}:{v}")
+    want = {w for w in free if len(w) > 1} | {None}
+    assert got == {entity("a@b.de", 0): want, entity("c@d.ef", 0): want, entity("49123456789", 3): want}
+    assert pii.contexts(d).where("term IS NULL").count() == 20_003
+
+
 # ---- op4
 
 
@@ -233,6 +258,29 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(language.posteriors(s, first, t, start), want)
 
 
+def test_expected_transitions_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    n, m = 7, 3
+    s, t, start = rng.normal(size=(n, m)), rng.normal(size=(m, m)), rng.normal(size=m)
+    want = np.zeros((m, m))
+    for a, b in ((0, 3), (3, 7)):
+        total, part = 0, np.zeros((m, m))
+        for y in itertools.product(range(m), repeat=b - a):
+            w = np.exp(start[y[0]] + sum(s[a + k, y[k]] for k in range(b - a)) + sum(t[y[k], y[k + 1]] for k in range(b - a - 1)))
+            total += w
+            for k in range(b - a - 1):
+                part[y[k], y[k + 1]] += w
+        want += part / total
+    got = language.forward_backward(s, np.array([1, 0, 0, 1, 0, 0, 0], bool), t, start)[1]
+    assert np.allclose(got, want)
+
+
+def test_only_letters_make_words():
+    assert language.words_of("½ ² Ⅷ") == [] and language.words_of("a½B été x2y_z") == ["a", "b", "été", "x", "y", "z"]
+
+
 def test_language_on_held_out_documents_and_switches(spark, real):
     out = language.op6_language(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in real.collect()}
@@ -243,8 +291,8 @@ def test_language_on_held_out_documents_and_switches(spark, real):
     en, de = (next(r.text for r in real.collect() if r.lang == x).split()[:25] for x in ("en", "de"))
     labels = [x for _, x in language.label_words(" ".join(en + de), model)]
     assert labels[:20].count("en") >= 18 and labels[-20:].count("de") >= 18
-    none = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs(spark, None, "12 !", "the"), model).collect()}
-    assert none[0] == none[1] == ("und", 0.0) and none[2][0] != "und"
+    none = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs(spark, None, "12 !", "the", "½ ² Ⅷ"), model).collect()}
+    assert none[0] == none[1] == none[3] == ("und", 0.0) and none[2][0] != "und"
 
 
 # ---- op7
@@ -441,3 +489,56 @@ def test_alike_but_not_enough(spark):
     got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, *texts)).collect()}
     want = brute_classes(dict(enumerate(texts)))
     assert got == want and len(set(want.values())) > 1
+
+
+def test_a_template_costs_a_text_a_member(spark, monkeypatch):
+    """Texts that are all alike, but not alike enough: each goes once to the blocks, not once for every other one."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+
+    def filled(n):
+        out = []
+        for _ in range(n):
+            t = list(base)
+            for k in (20, 60, 100, 140, 180):  # similarity of two about 0.78
+                t[k] = word()
+            out.append(" ".join(t))
+        return out
+
+    rows = []
+    monkeypatch.setattr(neardup, "partners", lambda labelled, f=neardup.partners: rows.append(f(labelled)) or rows[-1])
+    for n in (150, 300):
+        texts = filled(n)
+        assert {r.doc_id: r.class_id for r in neardup.classes(docs(spark, *texts)).collect()} == brute_classes(dict(enumerate(texts)))
+    small, large = (r.count() for r in rows)
+    assert small <= 150 * neardup.BANDS and large <= 2.5 * small
+
+
+def test_exact_similarities_of_a_block():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300))).astype(np.uint64) for _ in range(40)]
+    sets += [np.append(s[:-2], [1000 + k]).astype(np.uint64) for k, s in enumerate(sets) if len(s) > 2]
+    n = np.array([len(s) for s in sets])
+    left, right = np.arange(0, len(sets), 2), np.arange(1, len(sets))
+    got = neardup.similar(np.concatenate(sets), n, left, right, 0.8)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            x, y = set(sets[a]), set(sets[b])
+            assert got[i, j] == (bool(x | y) and len(x & y) >= 0.8 * len(x | y) - 1e-9)
+
+
+def test_texts_that_share_a_node_are_told_apart(spark, monkeypatch):
+    d = docs(spark, "one text", "another text", "one text", "a third", None, "")
+    want = {r.doc_id: r.class_id for r in neardup.classes(d).collect()}
+    assert want == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 4}
+    signed = neardup.sketch(d).withColumn("node", F.lit(7).cast("long"))
+    by_text = {}
+    for r in neardup.told_apart(signed).collect():
+        by_text.setdefault(r.node, set()).add(want[r.doc_id])
+    assert sorted(map(sorted, by_text.values())) == [[0], [1], [3], [4]]
+
+
+def test_keep_first_takes_clashing_names_and_repeated_rows(spark):
+    d = spark.createDataFrame([(2, "x y", 1, 9), (2, "x y", 1, 5), (1, "z", 2, 1), (None, "z", 3, 1), (None, "q", 4, 1)], "doc_id long, text string, _id int, _hash int")
+    assert sorted(map(tuple, neardup.keep_first(d).collect()), key=str) == sorted([(2, "x y", 1, 5), (1, "z", 2, 1), (None, "q", 4, 1)], key=str)
