@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> None:
         for r in M.recall(spark, a.store, [" ".join(a.query)], a.k).orderBy("rank").select(hit.alias("hit")).collect():
             print(r.hit, end="\n\n")
     elif a.verb == "lifecycle":
-        for r in M.lifecycle(spark, a.folder, a.store, F.current_timestamp()).orderBy("section", "pos").collect():
+        for r in M.lifecycle(spark, a.folder, a.store, F.current_timestamp()).orderBy("section", "pos").toLocalIterator():
             print(r.line)
     elif a.verb == "link":
         print(M.link(spark, a.folder, a.store))

@@ -37,8 +37,11 @@ class Settings:
     shown_runs: int = 3
     state_lines: int = 40
     shown_projects: int = 12
-    #: Rows from which similarity runs in blocks of matrix products instead of a nested loop.
+    log_bytes: int = 10 << 20
+    #: Rows of a block whose products with another block are one task.
     block_rows: int = 2048
+    #: Queries that are broadcast at once; more of them run in blocks of so many.
+    block_queries: int = 1000
 
 
 DEFAULTS = Settings()

@@ -12,7 +12,7 @@ from lorekeep.config import DEFAULTS, Settings
 from lorekeep.functions import vectors as V
 from lorekeep.operators import notes as N
 from lorekeep.sources import notes as S
-from lorekeep.sources import state
+from lorekeep.sources import files, state
 
 FILES = "file string, hash string, mtime timestamp, model string"
 CHUNKS = "file string, heading string, text string, ord int, vec array<double>, reused boolean"
@@ -57,9 +57,7 @@ def link(spark: SparkSession, folder: str, store: str, s: Settings = DEFAULTS) -
     found = S.scan_notes(spark, folder, s)
     rows = N.apply_links(found, N.links(_vectors(spark, store), N.slugs(found), s=s), s)
     counts = rows.agg(F.count("*").alias("linked_files"), F.count_if("changed").alias("written")).first()
-    changed = rows.where("changed").select("file", "new_raw").toLocalIterator()  # one note at a time
-    for r in list(changed) if counts.written < 1000 else changed:
-        S.write_text(spark, f"{folder}/{r.file}", r.new_raw)
+    S.write_notes(rows.where("changed").select("file", F.col("new_raw").alias("raw")), folder)
     return counts.asDict()
 
 
@@ -67,5 +65,5 @@ def maintain(spark: SparkSession, folder: str, store: str, now: Column, s: Setti
     """Index, review, links, in this order; the review goes to its file in the folder."""
     stats = index(spark, folder, store, s=s).first().asDict()
     lines = lifecycle(spark, folder, store, now, s).orderBy("section", "pos").toLocalIterator()
-    S.write_text(spark, f"{folder}/{s.review_file}", "\n".join(r.line for r in lines))
+    files.replace(spark, f"{folder}/{s.review_file}", ((b"\n" if k else b"") + r.line.encode() for k, r in enumerate(lines)))
     return stats | link(spark, folder, store, s)

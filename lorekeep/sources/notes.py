@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.config import DEFAULTS, Settings
 from lorekeep.functions import text as T
+from lorekeep.sources import files
 
 NOTE = "file string, raw string, mtime timestamp"
 
@@ -54,17 +58,13 @@ def key_values(lines: DataFrame) -> DataFrame:
 
 
 def write_notes(changed: DataFrame, folder: str) -> None:
-    """Write (file, raw) as text, one row a file, under partition folders; the caller renames if it must."""
-    changed.select("file", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file, replaced as a whole: written beside, then renamed."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(beside, target)
+    """Write (file, raw), each raw ending in a newline: executors write the texts, then each takes its note's place in one
+    step. The driver sees names only."""
+    spark = changed.sparkSession
+    beside = f"{folder}/_new-{uuid.uuid4().hex}"
+    changed.select("file", F.regexp_replace("raw", "\n\\z", "").alias("value")).write.partitionBy("file").text(beside)
+    fs, new = files.at(spark, f"{beside}/*/part-*")
+    for f in fs.globStatus(new) or []:
+        name = unquote(f.getPath().getParent().getName().removeprefix("file="))
+        files.move(spark, f.getPath().toString(), f"{folder}/{name}")
+    fs.delete(files.at(spark, beside)[1], True)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep.config import DEFAULTS, Settings
 from lorekeep.operators import observations as O
-from lorekeep.sources import state
+from lorekeep.sources import files, state
 
 EVENT = "seq long, ts timestamp, event string, cwd string, tool_name string, tool string, session_id string, input string, output string"
 OBSERVATION = "seq long, timestamp timestamp, event string, tool string, session string, input string, output string"
@@ -17,10 +17,10 @@ OBSERVATION = "seq long, timestamp timestamp, event string, tool string, session
 
 def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, denied: DataFrame) -> StreamingQuery:
     """Append observations of all new files in ``source`` to ``sink``; ends when none is left. The same expressions as in a
-    batch run: each micro-batch joins the static denylist."""
+    batch run: each micro-batch joins the static denylist. A batch that runs again after a failure replaces its rows."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        O.observe(O.not_denied(batch, denied)).write.mode("append").parquet(sink)
+    def append(batch: DataFrame, number: int) -> None:
+        files.put_batch(O.observe(O.not_denied(batch, denied)), sink, number)
 
     stream = spark.readStream.schema(EVENT).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
