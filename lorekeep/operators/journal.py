@@ -57,6 +57,11 @@ def upsert(journal: DataFrame, new: DataFrame, s: Settings = DEFAULTS) -> tuple[
     return ranked.where(F.col("_nth") <= s.journal_entries).drop("_nth"), ranked.where(F.col("_nth") > s.journal_entries).drop("_nth")
 
 
+def append_archive(overflow: DataFrame, folder: str) -> None:
+    """Add entries to the archive; it is never read by this system, and an entry that overflows twice stands there twice."""
+    overflow.write.mode("append").partitionBy("project").json(folder)
+
+
 def render(journal: DataFrame, states: DataFrame) -> DataFrame:
     """project, doc: the whole session document."""
     entry = F.concat(F.lit("\n### "), "date", F.lit(" · "), "sid", F.lit(" · "), "dur", F.when(F.col("summary") != "", F.concat(F.lit("\n"), "summary")).otherwise(""))

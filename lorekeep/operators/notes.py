@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,20 @@ def chunks(notes: DataFrame, limit: int | None = None, s: Settings = DEFAULTS) -
     lined = F.array_join(T.split_lines(body), "\n")
     sections = F.split(lined, r"(?dm)(?=^#{1,6}[^\S\n])", -1)
 
-    def pieces(section: Column) -> Column:
-        headed = T.is_heading(section)
-        heading = F.when(headed, T.strip(F.regexp_extract(section, r"(?d)^#{1,6}[^\S\n]+(.*)", 1))).otherwise("")
-        rest = T.strip(F.when(headed, F.regexp_replace(section, r"\A[^\n]*\n?", "")).otherwise(section))
-        full = F.when(heading != "", T.strip(F.concat(heading, F.lit("\n"), rest))).otherwise(rest)
-        return F.transform(T.split_pack(full, limit), lambda p: F.struct(heading.alias("heading"), p.alias("text")))
+    # each step binds what the next one uses more than once, as a lambda's body is evaluated as it is written
+    def headed(section: Column) -> Column:
+        is_one = T.is_heading(section)
+        heading = F.when(is_one, T.strip(F.regexp_extract(section, r"(?d)^#{1,6}[^\S\n]+(.*)", 1))).otherwise("")
+        return F.struct(heading.alias("heading"), T.strip(F.when(is_one, F.regexp_replace(section, r"\A[^\n]*\n?", "")).otherwise(section)).alias("rest"))
+
+    def glued(x: Column) -> Column:
+        full = F.when(x["heading"] != "", T.strip(F.concat(x["heading"], F.lit("\n"), x["rest"]))).otherwise(x["rest"])
+        return F.struct(x["heading"].alias("heading"), full.alias("full"))
 
+    def pieces(x: Column) -> Column:
+        return F.transform(T.split_pack(x["full"], limit), lambda p: F.struct(x["heading"].alias("heading"), p.alias("text")))
+
+    sections = F.transform(F.transform(sections, headed), glued)
     found = notes.select("file", F.posexplode(F.flatten(F.transform(sections, pieces))).alias("ord", "c"))
     return found.select("file", "c.heading", "c.text", "ord")
 
@@ -36,12 +45,12 @@ def file_table(notes: DataFrame, model: str, limit: int | None = None, s: Settin
 
 def build_index(notes: DataFrame, old_files: DataFrame, old_chunks: DataFrame, model: str, embed=V.hash_embed, limit: int | None = None, s: Settings = DEFAULTS):
     """(files, chunks with vec and reused): chunks of unchanged files are taken over, the others are made anew; files that
-    are gone go. ``embed(rows, keys, text)`` gives keys and vec."""
+    are gone go. ``embed(rows, keys, text)`` gives vec beside the columns ``keys``."""
     files = file_table(notes, model, limit, s)
     same = files.join(old_files.select("file", "hash", "model"), ["file", "hash", "model"], "left_semi").select("file")
     kept = old_chunks.join(same, "file", "left_semi").select("file", "heading", "text", "ord", "vec", F.lit(True).alias("reused"))
     fresh = chunks(notes.join(same, "file", "left_anti"), limit, s)
-    made = fresh.join(embed(fresh, ["file", "ord"], "text"), ["file", "ord"]).select("file", "heading", "text", "ord", "vec", F.lit(False).alias("reused"))
+    made = embed(fresh, ["file", "heading", "text", "ord"], "text").withColumn("reused", F.lit(False))
     return files, kept.unionByName(made)
 
 
@@ -52,11 +61,27 @@ def index_stats(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def recall(found: DataFrame, queries: DataFrame, k: int | None = None, s: Settings = DEFAULTS, ident: tuple[str, ...] = ("file", "ord")) -> DataFrame:
-    """The k best rows of ``found`` (vec and others) for each of ``queries`` (query, qvec): columns of both, score, rank. The
-    queries are a user's handful and are broadcast; every task keeps its own k best before anything is shuffled."""
-    pairs = found.join(F.broadcast(queries), F.lit(True)).withColumn("score", V.dot(F.col("qvec"), F.col("vec"))).drop("qvec", "vec")
+    """The k best rows of ``found`` (vec and others) for each of ``queries`` (query, qvec): columns of both, score, rank. A
+    user's handful of queries is broadcast, more run in blocks of bounded size; every task keeps its own k best before
+    anything is shuffled."""
+    blocks = -(-queries.count() // s.block_queries)
     best = Window.partitionBy("query").orderBy(F.desc("score"), *ident)
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= (k or s.recall_k))
+    parts = []
+    for b in range(max(blocks, 1)):
+        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        pairs = found.join(F.broadcast(some), F.lit(True)).withColumn("score", V.dot(F.col("qvec"), F.col("vec"))).drop("qvec", "vec")
+        parts.append(pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= (k or s.recall_k)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def positions(rows: DataFrame, order: list[Column], group: Column, descending: bool = True) -> DataFrame:
+    """``rows`` with pos, their place from 1 on in ``order``. ``group`` is a coarser value in the same order with few different
+    ones: their sizes are summed in one place, and the rows of each are ranked by themselves."""
+    keyed = rows.withColumn("_g", group)
+    before = Window.orderBy(F.desc("_g") if descending else F.asc("_g")).rowsBetween(Window.unboundedPreceding, -1)
+    first = keyed.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    return keyed.join(first, "_g").withColumn("pos", F.col("_first") + nth).drop("_g", "_first")
 
 
 def format_hit(score: Column, file: Column, heading: Column, text: Column, most: int = 600) -> Column:
@@ -129,20 +154,29 @@ def links(vectors: DataFrame, slugs: DataFrame, top_n: int | None = None, thresh
     def pick(left, right, scores, same):
         import numpy as np
 
-        out: list[tuple[list, list, list]] = []
-
-        def rows(a, b, m):
-            for k in range(len(a)):
-                if a[k] == excluded:
-                    continue
-                fine = np.flatnonzero((np.round(m[k], 9) >= threshold) & (b != excluded) & (b != a[k]))
-                best = fine[np.lexsort((b[fine], -np.round(m[k][fine], 12)))[:top_n]]
-                out.append(([a[k]] * len(best), b[best].tolist(), m[k][best].tolist()))
-
-        rows(left, right, scores)
-        if not same:
-            rows(right, left, scores.T)
-        return tuple([x for o in out for x in o[c]] for c in range(3))
+        def best(a, b, m):
+            place = np.empty(len(b), np.int64)
+            place[np.argsort(b, kind="stable")] = np.arange(len(b))  # names' order, by which ties go
+            m = np.where(np.round(m, 9) >= threshold, m, -np.inf)
+            m[:, b == excluded] = -np.inf
+            m[a == excluded] = -np.inf
+            if same:
+                m[np.arange(len(a)), np.arange(len(a))] = -np.inf
+            rounded = np.round(m, 12)
+            least = np.partition(rounded, len(b) - min(top_n, len(b)), axis=1)[:, len(b) - min(top_n, len(b))]
+            i, j = np.nonzero((rounded >= least[:, None]) & (m > -np.inf))
+            order = np.lexsort((place[j], -rounded[i, j], i))
+            i, j = i[order], j[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[nth < top_n], j[nth < top_n]
+            return a[i], b[j], m[i, j]
+
+        if not len(left) or not len(right):
+            return [], [], []
+        found = best(left, right, scores)
+        if same:
+            return found
+        return tuple(np.concatenate(x) for x in zip(found, best(right, left, scores.T), strict=True))
 
     found = _block_products(vectors, pick, s)
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b"))
@@ -175,16 +209,16 @@ def review(stale_rows: DataFrame, pairs: DataFrame, s: Settings = DEFAULTS) -> D
     intro = ["# Ревизия памяти (авто, lorekeep)", "", "Сгенерировано автоматически. **Ничего не удалено** — это кандидаты на ревизию.", "Реши вручную: обновить / слить / удалить / оставить.", ""]
     head = spark.createDataFrame([(0, k, x) for k, x in enumerate(intro)], "section int, pos long, line string")
 
-    def part(section: int, rows: DataFrame, title: str, order: list[Column], line: Column) -> DataFrame:
+    def part(section: int, rows: DataFrame, title: str, by: str, order: list[Column], line: Column) -> DataFrame:
         count = rows.agg(F.count("*").alias("n"))
         top = count.select(F.lit(section).alias("section"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.concat(F.lit(f"{title} — "), F.col("n").cast("string")).alias("line")), F.struct(F.lit(1).cast("long").alias("pos"), F.lit("").alias("line")))).alias("x")).select("section", "x.*")
         none = count.where("n = 0").select(F.lit(section).alias("section"), F.lit(2).cast("long").alias("pos"), F.lit("_нет_").alias("line"))
-        body = rows.select(F.lit(section).alias("section"), (F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("pos"), line.alias("line"))
+        body = positions(rows, [F.desc(by), *order], F.col(by)).select(F.lit(section).alias("section"), (F.col("pos") + 1).cast("long").alias("pos"), line.alias("line"))
         end = spark.createDataFrame([(section, 1 << 62, "")], "section int, pos long, line string")
         return top.union(none).union(body).union(end)
 
-    a = part(1, stale_rows, f"## Протухшие (> {s.stale_days} дн. без правок)", [F.desc("age_days"), F.col("file")], F.concat(F.lit("- `"), "file", F.lit("` — "), F.col("age_days").cast("string"), F.lit(" дн.")))
-    b = part(2, pairs, f"## Похожие пары (cosine ≥ {s.dup_threshold})", [F.desc("score"), F.col("a"), F.col("b")], F.concat(F.lit("- `"), "a", F.lit("` ⇄ `"), "b", F.lit("` — "), F.col("score").cast("string")))
+    a = part(1, stale_rows, f"## Протухшие (> {s.stale_days} дн. без правок)", "age_days", [F.col("file")], F.concat(F.lit("- `"), "file", F.lit("` — "), F.col("age_days").cast("string"), F.lit(" дн.")))
+    b = part(2, pairs, f"## Похожие пары (cosine ≥ {s.dup_threshold})", "score", [F.col("a"), F.col("b")], F.concat(F.lit("- `"), "a", F.lit("` ⇄ `"), "b", F.lit("` — "), F.col("score").cast("string")))
     return head.union(a).union(b)
 
 

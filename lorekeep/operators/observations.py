@@ -36,6 +36,11 @@ def observe(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def log_lines(observed: DataFrame) -> DataFrame:
+    """value: one JSON line an observation; absent fields are left out."""
+    return observed.select(F.to_json(F.struct(*observed.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}).alias("value"))
+
+
 def guard(payloads: DataFrame, raw: str = "raw", own: str = OWN_NAME) -> DataFrame:
     """Payloads that are empty or speak of this system itself go."""
     return payloads.where((F.col(raw) != "") & ~F.col(raw).contains(own))
@@ -152,6 +157,7 @@ def trigger_of(raw: Column) -> Column:
 def run_result(cmd: Column, output: Column) -> Column:
     """What a test command's output says; null if nothing. The first pattern that fits decides."""
     out = T.unescape_newlines(output)
+    # The patterns of two test runners' summaries.
     done = r"(\d+) tests? completed, (\d+) failed(?:, (\d+) skipped)?"
     passed = r"(?:(\d+) failed, )?(\d+) passed(?:, (\d+) skipped)?(?:, \d+ warning)?"
     g = lambda p, k: F.regexp_extract(out, p, k)

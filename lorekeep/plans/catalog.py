@@ -16,8 +16,9 @@ from lorekeep.operators import observations as O
 from lorekeep.operators import transcripts as R
 from lorekeep.plans import adapters as A
 from lorekeep.plans import maintain as M
+from lorekeep.sources import files, state
 from lorekeep.sources import notes as S
-from lorekeep.sources import state
+from lorekeep.streaming import hooks as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,10 +122,9 @@ def dup_join(spark, sf_dir):
     return N.dup_pairs(_note_vectors(spark, sf_dir))
 
 
-@query("o5_dup_order", _PAIRS + ", d AS (SELECT a, b, round(score, 3) AS score FROM pair WHERE round(score, 9) >= 0.55) SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a, b) AS pos FROM d QUALIFY pos <= 100")
+@query("o5_dup_order", _PAIRS + ", d AS (SELECT a, b, round(score, 3) AS score FROM pair WHERE round(score, 9) >= 0.55) SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a, b) AS pos FROM d")
 def dup_order(spark, sf_dir):
-    top = N.dup_pairs(_note_vectors(spark, sf_dir)).orderBy(F.desc("score"), "a", "b").limit(100)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "a", "b")).cast("long"))
+    return N.positions(N.dup_pairs(_note_vectors(spark, sf_dir)), [F.desc("score"), F.col("a"), F.col("b")], F.col("score"))
 
 
 _BEST = _PAIRS + """, two_way AS (SELECT a AS f, b AS t, score FROM pair UNION ALL SELECT b, a, score FROM pair),
@@ -154,6 +154,41 @@ def sink_links(spark, sf_dir):
     return N.apply_links(A.notes(spark, sf_dir).drop("mtime", "is_top"), found).select("file", F.md5(F.col("new_raw").cast("binary")).alias("new_md5"), "changed")
 
 
+@query("x1_injected_embedder", _with(A.CHUNKS, A.EMBED) + " SELECT file, ord, i::INT AS i, round(x, 6) AS x FROM unit")
+def injected_embedder(spark, sf_dir):
+    v = V.injected(hashed_counts)(N.chunks(A.notes(spark, sf_dir)), ["file", "ord"], "text")
+    return v.select("file", "ord", F.posexplode("vec").alias("i", "x")).where("x > 0").select("file", "ord", "i", F.round("x", 6).alias("x"))
+
+
+def hashed_counts(texts: list[str]):
+    """An embedder as a caller would bring it: texts to a matrix. Counts of hashed words."""
+    import hashlib
+
+    import numpy as np
+    import regex
+
+    out, cells = np.zeros((len(texts), V.HASH_DIM)), {}
+    for k, t in enumerate(texts):
+        for w in regex.findall(r"[\p{L}\p{N}_]+", t.lower()):
+            if w not in cells:
+                cells[w] = hashlib.md5(w.encode()).digest()[-1] % V.HASH_DIM
+            out[k, cells[w]] += 1
+    return out
+
+
+_NO_INDEX = _PAIRS + """, two_way AS (SELECT a AS f, b AS t, score FROM pair UNION ALL SELECT b, a, score FROM pair),
+ best AS (SELECT f AS file, t AS target, score, row_number() OVER (PARTITION BY f ORDER BY round(score, 12) DESC, t) AS rank FROM two_way
+  WHERE round(score, 9) >= 0.25 AND f <> 'doc_1.md' AND t <> 'doc_1.md' QUALIFY rank <= 3)"""
+
+
+@query("p19_link_exclude", _NO_INDEX + " SELECT file, rank::INT AS rank, target, round(score, 6) AS score FROM best")
+def link_exclude(spark, sf_dir):
+    """The index file is neither source nor target of links, though it counts in the centring."""
+    name = F.when(F.col("file") == "doc_1.md", DEFAULTS.index_file).otherwise(F.col("file"))
+    found = N.links(_note_vectors(spark, sf_dir).withColumn("file", name), N.slugs(A.notes(spark, sf_dir).withColumn("file", name)))
+    return found.select("file", "rank", "target", F.round("score", 6).alias("score"))
+
+
 @query("x2_hash_embed", _with(A.CHUNKS, A.EMBED) + " SELECT file, ord, i::INT AS i, round(x, 6) AS x FROM unit")
 def hash_embedding(spark, sf_dir):
     v = V.hash_embed(N.chunks(A.notes(spark, sf_dir)), ["file", "ord"], "text")
@@ -280,7 +315,7 @@ def chunk_ord(spark, sf_dir):
 def _index(spark: SparkSession, sf_dir: str):
     before = A.notes(spark, sf_dir, edited=True)
     old_files, old_chunks = N.file_table(before, "hash64"), N.chunks(before)
-    old = old_chunks.join(V.hash_embed(old_chunks, ["file", "ord"], "text"), ["file", "ord"])
+    old = V.hash_embed(old_chunks, ["file", "heading", "text", "ord"], "text")
     return N.build_index(A.notes(spark, sf_dir), old_files, old, "hash64")
 
 
@@ -310,10 +345,9 @@ def stale(spark, sf_dir):
     return N.stale(A.notes(spark, sf_dir), A.now())
 
 
-@query("o5_stale_order", _STALE + " SELECT *, row_number() OVER (ORDER BY age_days DESC, file) AS pos FROM stale QUALIFY pos <= 50")
+@query("o5_stale_order", _STALE + " SELECT *, row_number() OVER (ORDER BY age_days DESC, file) AS pos FROM stale")
 def stale_order(spark, sf_dir):
-    top = N.stale(A.notes(spark, sf_dir), A.now()).orderBy(F.desc("age_days"), "file").limit(50)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("age_days"), "file")).cast("long"))
+    return N.positions(N.stale(A.notes(spark, sf_dir), A.now()), [F.desc("age_days"), F.col("file")], F.col("age_days"))
 
 
 @query("f36_age_days", _with(A.NOTES) + " SELECT file, (doc_id % 90)::DOUBLE AS age FROM notes")
@@ -374,14 +408,14 @@ def short_sid(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", sid.alias("sid"), T.day(F.when(i % 3 == 0, "").otherwise("2024-03-01T10:00:00Z")).alias("day"))
 
 
-@query("f16_slug_project", r"SELECT doc_id, coalesce(nullif(regexp_replace(lower(regexp_replace(substr(text, 1, 20), '^\s+|\s+$', '', 'g')), '[^a-z0-9-]', '-', 'g'), ''), 'misc') AS slug FROM documents")
+@query("f16_slug_project", r"SELECT doc_id, coalesce(nullif(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^a-z0-9-]', '-', 'g'), ''), 'misc') AS slug FROM documents")
 def slug_project(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.slug_project(F.substring("text", 1, 20)).alias("slug"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.slug_project(F.col("text")).alias("slug"))
 
 
-@query("f17_slug_id", r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(substr(text, 1, 20)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'instinct') AS slug FROM documents")
+@query("f17_slug_id", r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'instinct') AS slug FROM documents")
 def slug_id(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.slug_id(F.substring("text", 1, 20)).alias("slug"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.slug_id(F.col("text")).alias("slug"))
 
 
 @query("f18_clamp", "SELECT event_id, greatest(0.3, least(0.9, value / 100)) AS v FROM events")
@@ -517,18 +551,38 @@ def tool_oneliner(spark, sf_dir):
     return _blocks(spark, sf_dir).where("kind = 'TOOL'").select("session", "line_no", "text")
 
 
-@query("f35_render_digest")
+_DIGEST = _COUNTS + r""", arg AS (SELECT conv_id, turn, regexp_replace(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS a FROM conv WHERE role = 'assistant' AND turn % 2 = 1),
+ named AS (SELECT conv_id, turn, ['Bash', 'Read', 'TodoWrite', 'Other'][turn % 4 + 1] AS tool, CASE WHEN turn % 4 = 3 THEN regexp_replace('first=' || a, '\s+$', '') ELSE a END AS a FROM arg),
+ shown AS (SELECT conv_id, turn, CASE WHEN tool = 'TodoWrite' OR a IN ('', '0') THEN tool ELSE tool || '(' || CASE WHEN length(a) > 140 THEN substr(a, 1, 140) || '…' ELSE a END || ')' END AS t FROM named),
+ told AS (SELECT ev.conv_id, string_agg(CASE kind WHEN 'USER' THEN '🧑 ЮЗЕР: ' || ev.text WHEN 'ASSISTANT' THEN '🤖: ' || ev.text ELSE '  ↳: ' || shown.t END, chr(10) ORDER BY ev.turn, ev.pos) AS lines
+  FROM ev LEFT JOIN shown ON kind = 'TOOL' AND shown.conv_id = ev.conv_id AND shown.turn = ev.turn WHERE kind <> 'THINKING' GROUP BY ev.conv_id),
+ used AS (SELECT conv_id, string_agg(tool || '×' || n, ', ' ORDER BY n DESC, f) AS tools FROM (SELECT conv_id, tool, count(*) AS n, min(turn) AS f FROM ev WHERE kind = 'TOOL' GROUP BY conv_id, tool) GROUP BY conv_id),
+ meta AS (SELECT conv_id, conv_id::VARCHAR AS session, CASE WHEN count(*) FILTER (role IN ('user', 'assistant')) > 0 THEN 's' || conv_id END AS sid,
+  CASE WHEN count(*) FILTER (role IN ('user', 'assistant') AND turn >= 1) > 0 THEN '/w/p' || (conv_id % 7) END AS cwd, max(turn) - min(turn) AS m,
+  strftime(TIMESTAMP '2024-03-01' + to_minutes(min(turn)), '%Y-%m-%dT%H:%M:%SZ') AS lo, strftime(TIMESTAMP '2024-03-01' + to_minutes(max(turn)), '%Y-%m-%dT%H:%M:%SZ') AS hi FROM conv GROUP BY conv_id),
+ dg AS (SELECT session, '# ДАЙДЖЕСТ СЕССИИ (прототип жнеца)' || chr(10) || chr(10) || '- session: `' || coalesce(sid, '?') || '`' || chr(10) || '- cwd: `' || coalesce(cwd, '?') || '`  |  branch: `-`' || chr(10)
+  || '- период: ' || lo || ' → ' || hi || '  (~' || CASE WHEN m >= 60 THEN (m // 60) || 'ч ' || (m % 60) || 'м' ELSE m || 'м' END || ')' || chr(10)
+  || '- объём: промптов=' || user_prompts || ', реплик=' || assistant_texts || ', tool-вызовов=' || tool_calls || ', thinking-блоков выкинуто=' || thinking || ', tool-результатов выкинуто=' || tool_results || chr(10)
+  || '- инструменты: ' || coalesce(tools, '') || chr(10) || chr(10) || '## Хронология (сжатая)' || chr(10) || chr(10) || lines AS digest
+  FROM c JOIN meta USING (session) JOIN told USING (conv_id) LEFT JOIN used USING (conv_id) WHERE user_prompts >= 2)"""
+
+
+@query("f35_render_digest", _DIGEST + " SELECT * FROM dg")
 def render_digest(spark, sf_dir):
     return R.digest(A.transcript_lines(spark, sf_dir))
 
 
-@query("a9_compression_ratio")
+@query("a9_compression_ratio", _DIGEST + r""", raw AS (SELECT conv_id::VARCHAR AS session, sum(octet_length(encode('{"type":' || to_json(role) || ',"timestamp":"2024-03-01T00:00:00Z","sessionId":"s' || conv_id || '","cwd":"' || CASE WHEN turn >= 1 THEN '/w/p' || conv_id % 7 ELSE '' END
+  || '","message":{"content":' || CASE WHEN role = 'assistant' THEN '[{"type":"thinking","text":"t"},{"type":"text","text":' || to_json(text) || '}' || CASE WHEN turn % 2 = 1 THEN ',{"type":"tool_use","name":"' || ['Bash', 'Read', 'TodoWrite', 'Other'][turn % 4 + 1]
+  || '","input":{"' || ['command', 'file_path', 'todos', 'first'][turn % 4 + 1] || '":' || to_json(substr(text, 1, 200)) || ',"a":1}}' ELSE '' END || ']' ELSE to_json(text) END || '}}')) + 1) AS n FROM conv GROUP BY conv_id)
+ SELECT session, (100 * octet_length(encode(digest)) // greatest(n, 1))::BIGINT AS percent FROM dg JOIN raw USING (session)""")
 def compression(spark, sf_dir):
     lines = A.transcript_lines(spark, sf_dir)
     return R.compression(R.digest(lines), lines)
 
 
-@query("x3_summarize")
+@query("x3_summarize", _DIGEST + """, l AS (SELECT session, string_split(digest, chr(10)) AS l FROM dg) SELECT session, 'misc' AS project,
+ coalesce(substr(list_filter(l, lambda x: starts_with(x, '🧑'))[1], 1, 400), '') AS current_state, coalesce(substr(l[-1], 1, 400), '') AS session_summary FROM l""")
 def summarize(spark, sf_dir):
     return R.extractive_summary(R.digest(A.transcript_lines(spark, sf_dir)))
 
@@ -540,10 +594,19 @@ def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.eligible(A.listing(spark, sf_dir), A.sweep_state(spark, sf_dir), A.now())
 
 
-@query("s5_scan_transcript_listing", _with(A.LISTING) + " SELECT path, size, row_number() OVER (ORDER BY mtime DESC, path) AS pos FROM files QUALIFY pos <= 100")
+@query("s5_scan_transcript_listing", _with(A.LISTING) + " SELECT path, size, row_number() OVER (ORDER BY mtime DESC, path) AS pos FROM files")
 def listing(spark, sf_dir):
-    order = [F.desc("mtime"), F.col("path")]
-    return A.listing(spark, sf_dir).orderBy(*order).limit(100).select("path", "size", F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"))
+    hour = F.date_trunc("hour", "mtime")
+    return N.positions(A.listing(spark, sf_dir), [F.desc("mtime"), F.col("path")], hour).select("path", "size", "pos")
+
+
+@query("s5_scan_folder", "SELECT conv_id::VARCHAR AS session, sum(octet_length(encode(role)) + 1)::BIGINT AS size FROM conversations GROUP BY conv_id")
+def scan_folder(spark, sf_dir):
+    """Real files, a transcript each, listed with their sizes; contents aren't read."""
+    folder = _store(spark, "transcripts")
+    turns = A.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), "role")
+    turns.repartition("session").write.partitionBy("session").text(folder)
+    return files.listing(spark, f"{folder}/*/part-*").select(F.regexp_extract("path", "session=([^/]*)/", 1).alias("session"), "size")
 
 
 @query("j3_sweep_state_join", _with(A.LISTING) + " SELECT f.path, coalesce(s.size, -1) AS seen FROM files f LEFT JOIN state s USING (path)")
@@ -585,12 +648,12 @@ def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A journal and new entries: conversations by project, the later half of the turns being new."""
     c = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     i = F.col("conv_id")
-    entry = lambda rows, seq, text: rows.select(F.concat(F.lit("p"), (i % 9).cast("string")).alias("project"), F.concat(F.lit("s"), i.cast("string")).alias("sid"), F.lit("2024-03-01").alias("date"), F.lit("5м").alias("dur"), F.concat(F.lit(text), F.col("n").cast("string")).alias("summary"), seq.alias("seq"))
+    entry = lambda rows, seq, text: rows.select(F.concat(F.lit("p"), (i % 3).cast("string")).alias("project"), F.concat(F.lit("s"), i.cast("string")).alias("sid"), F.lit("2024-03-01").alias("date"), F.lit("5м").alias("dur"), F.concat(F.lit(text), F.col("n").cast("string")).alias("summary"), seq.alias("seq"))
     return entry(c.where("conv_id % 4 <> 3"), i, "old "), entry(c.where("conv_id % 2 = 1"), i + 1_000_000_000, "new ")
 
 
 _JOURNAL = """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
-e AS (SELECT 'p' || conv_id % 9 AS project, 's' || conv_id AS sid, CASE WHEN conv_id % 2 = 1 THEN 'new ' ELSE 'old ' END || n AS summary,
+e AS (SELECT 'p' || conv_id % 3 AS project, 's' || conv_id AS sid, CASE WHEN conv_id % 2 = 1 THEN 'new ' ELSE 'old ' END || n AS summary,
   CASE WHEN conv_id % 2 = 1 THEN conv_id + 1000000000 ELSE conv_id END AS seq FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq DESC) AS nth FROM e)"""
 
@@ -600,9 +663,21 @@ def journal_upsert(spark, sf_dir):
     return J.upsert(*_entries(spark, sf_dir))[0].select("project", "sid", "summary", "seq")
 
 
-@query("s8_sink_archive", _JOURNAL + " SELECT project, sid, summary, seq FROM r WHERE nth > 15")
+@query("s8_sink_archive", """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+o AS (SELECT 'p' || conv_id % 3 AS project, 's' || conv_id AS sid, 'old ' || n AS summary, conv_id AS seq, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id DESC) AS nth FROM c WHERE conv_id % 4 <> 3),
+b AS (SELECT project, sid, summary, seq FROM o WHERE nth <= 15 AND sid NOT IN (SELECT 's' || conv_id FROM c WHERE conv_id % 2 = 1)
+  UNION ALL SELECT 'p' || conv_id % 3, 's' || conv_id, 'new ' || n, conv_id + 1000000000 FROM c WHERE conv_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq DESC) AS nth FROM b)
+SELECT project, sid, summary, seq FROM o WHERE nth > 15 UNION ALL SELECT project, sid, summary, seq FROM r WHERE nth > 15""")
 def archive(spark, sf_dir):
-    return J.upsert(*_entries(spark, sf_dir))[1].select("project", "sid", "summary", "seq")
+    """Two runs, each of which appends what overflows."""
+    folder = _store(spark, "archive")
+    old, new = _entries(spark, sf_dir)
+    journal = old.limit(0)
+    for entries in (old, new):
+        journal, overflow = J.upsert(journal, entries)
+        J.append_archive(overflow, folder)
+    return spark.read.schema("sid string, summary string, seq long, project string").json(folder).select("project", "sid", "summary", "seq")
 
 
 @query("w2_journal_retention", _JOURNAL + " SELECT project, least(count(*), 15) AS kept, greatest(count(*) - 15, 0) AS overflow FROM r GROUP BY project")
@@ -663,9 +738,15 @@ def ingest(spark, sf_dir):
     return O.observe(O.not_denied(A.hook_events(spark, sf_dir), _denied(spark))).drop("timestamp")
 
 
-@query("s9_sink_obs_append", _with(_OBS) + " SELECT ts::DATE::VARCHAR AS day, event, count(*) AS n FROM o GROUP BY ALL")
+@query("s9_sink_obs_append", _with(_OBS) + " SELECT seq, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, event, tool, session, input, output, seq % 3 < 2 AS archived FROM o")
 def obs_append(spark, sf_dir):
-    return O.observe(A.hook_events(spark, sf_dir)).groupBy(F.to_date("timestamp").cast("string").alias("day"), "event").agg(F.count("*").alias("n"))
+    """Three batches are appended to a log that is full after each of them: the first two end up in its archive."""
+    folder = _store(spark, "observations")
+    observed = O.observe(A.hook_events(spark, sf_dir))
+    for k in range(3):
+        files.append_rotated(O.log_lines(observed.where(F.col("seq") % 3 == k)), folder, 1, "2024-03-01T000000Z")
+    read = files.read_rotated(spark, folder).select("archived", F.from_json("value", H.OBSERVATION.replace("timestamp timestamp", "timestamp string")).alias("o"))
+    return read.select("o.*", "archived")
 
 
 @query("p11_self_loop_filter", "SELECT event_id FROM events WHERE event_id % 4 NOT IN (0, 1)")
@@ -832,12 +913,21 @@ def testrun_join(spark, sf_dir):
 
 
 def _store(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares; without one, in this machine's."""
+    """A new folder in the one that the cluster shares; only on a single machine, without one, in this machine's. Spark
+    removes it when the application ends."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base}/lorekeep/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    folder = f"{base}/lorekeep-{spark.sparkContext.applicationId}"
+    fs, at = files.at(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s3_sink_index", _with(A.CHUNKS) + " SELECT file, count(*) AS chunks FROM chunks GROUP BY file")
