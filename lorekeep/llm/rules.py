@@ -3,8 +3,9 @@
 Fixed base rules come first. Sequential covering then learns, from labelled statistics, an ordered list of
 conjunctions of thresholds: a rule grows by the condition of largest information gain on one part of the
 labelled documents, is pruned back on the other part, and what it covers is set aside before the next one. The
-list is a Spark conditional expression. Statistics are DataFrame functions over whole texts; learning needs only
-counts by threshold, which Spark aggregates over all labelled documents.
+list is a Spark conditional expression. Statistics are DataFrame functions over whole texts; thresholds are quantiles of
+all labelled documents; Spark counts a bounded sample of them (SAMPLE) by the bins between thresholds, and rules grow on
+those counts.
 
 Cases: a null text has no words (all counts 0) and fails the base rules, as an empty one does; documents without
 a label don't teach; with no labelled documents, or with one class only, the list is empty and keeps what passes
@@ -17,16 +18,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE, read, stash
+from lorekeep.llm.common import SPACE, bounded_sample, read, stash
 
 #: Words in a window of the repetition statistic.
 WINDOW = 8
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "words_a_line")
 #: Thresholds tried for each feature: so many quantiles of the labelled documents.
 QUANTILES = 24
+#: Labelled documents that rules grow on, about, as many of either class as there are, by hashes of their ids.
+SAMPLE = 50_000
 MOST_RULES = 12
 MOST_CONDITIONS = 4
 #: A rule is accepted if so much of what it covers, in the part that prunes, is of the rejected class.
@@ -134,54 +138,74 @@ class DecisionList:
         return "\n".join([*("if " + " and ".join(map(str, r.conditions)) + " then reject" for r in self.rules), "else keep"])
 
 
-def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, bool, int], list[int]]:
-    """By feature, part and bin: rows that are rejected and others, at once for all features."""
-    bins = [F.struct(F.lit(f).alias("f"), sum((F.col(f).cast("double") >= t).cast("int") for t in cuts[f]).alias("b")) for f in FEATURES if cuts[f]]
-    by = rows.select("bad", "grow", F.explode(F.array(*bins)).alias("x")).groupBy("x.f", "grow", "x.b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
-    return {(r.f, r.grow, r.b): [r.p, r.n] for r in by.collect()}
+@dataclass
+class Counted:
+    """Sampled documents by their bins: rows x FEATURES, their class, the part that they belong to, and how many they are."""
 
+    bins: np.ndarray
+    bad: np.ndarray
+    grow: np.ndarray
+    number: np.ndarray
 
-def _candidates(counts: dict, cuts: dict[str, list[float]]):
-    """Each condition with the rows it covers: growing part (p, n), pruning part (p, n)."""
-    for f in FEATURES:
-        n = len(cuts[f])
-        table = {g: [counts.get((f, g, b), [0, 0]) for b in range(n + 1)] for g in (True, False)}
-        for k, t in enumerate(cuts[f]):
-            for up in (True, False):
-                part = lambda g: [sum(x[i] for x in (table[g][k + 1 :] if up else table[g][: k + 1])) for i in (0, 1)]  # noqa: B023, E731
-                yield Condition(f, up, t), part(True), part(False)
+    def where(self, mask: np.ndarray) -> Counted:
+        return Counted(self.bins[mask], self.bad[mask], self.grow[mask], self.number[mask])
+
+    def total(self, grow: bool) -> tuple[int, int]:
+        """Rejected documents and others of a part."""
+        part = self.number * (self.grow == grow)
+        return int(part[self.bad].sum()), int(part[~self.bad].sum())
+
+    def candidates(self, cuts: list[list[float]]):
+        """Each condition with the rows that it covers (a mask), and the growing part's and the pruning part's (p, n)."""
+        for f, thresholds in enumerate(cuts):
+            size = len(thresholds) + 1
+            code = (2 * self.grow + self.bad) * size + self.bins[:, f]
+            table = np.bincount(code, self.number, 4 * size).reshape(2, 2, size)[:, ::-1]  # part, rejected first
+            below = table.cumsum(axis=2)
+            for k, t in enumerate(thresholds):
+                for up in (True, False):
+                    (pruned, grown) = below[:, :, -1] - below[:, :, k] if up else below[:, :, k]
+                    yield Condition(FEATURES[f], up, t), (f, k, up), tuple(map(int, grown)), tuple(map(int, pruned))
+
+    def covers(self, place: tuple[int, int, bool]) -> np.ndarray:
+        f, k, up = place
+        return (self.bins[:, f] > k) == up
+
+
+def counted(rows: DataFrame, cuts: list[list[float]], most: int = SAMPLE) -> Counted:
+    """``rows``: doc_id, bad, grow and FEATURES."""
+    bins = [sum(((F.col(f) >= t).cast("int") for t in c), F.lit(0)).alias(f) for f, c in zip(FEATURES, cuts, strict=True)]
+    found = bounded_sample(rows, "bad", F.col("doc_id"), most).select("bad", "grow", *bins).groupBy("bad", "grow", *FEATURES).agg(F.count("*").alias("n")).collect()
+    x = np.array([tuple(r) for r in sorted(map(tuple, found))], np.int64).reshape(-1, len(FEATURES) + 3)
+    return Counted(x[:, 2:-1], x[:, 0] > 0, x[:, 1] > 0, x[:, -1])
 
 
 def learn(labelled: DataFrame) -> DecisionList:
     """``labelled``: doc_id, FEATURES and quality (1 good, 0 to be rejected). Two thirds grow rules, a third prunes."""
-    rows = labelled.where("quality IS NOT NULL").select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *FEATURES)
-    rows = stash(rows, "labelled")
+    known = labelled.where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    rows = stash(known, "labelled")
     probs = [k / QUANTILES for k in range(1, QUANTILES)]
     # quantiles of either class, so that a rare one has thresholds of its own
-    cut = rows.groupBy("bad").agg(*[F.percentile_approx(F.col(f).cast("double"), probs).alias(f) for f in FEATURES]).collect()
+    cut = rows.groupBy("bad").agg(*[F.percentile_approx(f, probs).alias(f) for f in FEATURES]).collect()
     if len(cut) < 2:
         return DecisionList()
-    cuts = {f: sorted({x for r in cut for x in r[f]}) for f in FEATURES}
+    cuts = [sorted({x for r in cut for x in r[f]}) for f in FEATURES]
     rules: list[Rule] = []
-    rest = rows
+    rest = counted(rows, cuts)
     while len(rules) < MOST_RULES:
         covered, conditions, steps = rest, [], []
-        start = _counts(rest, cuts)
-        p0 = sum(v[0] for (f, g, _), v in start.items() if f == FEATURES[0] and g)
-        n0 = sum(v[1] for (f, g, _), v in start.items() if f == FEATURES[0] and g)
+        p0, n0 = rest.total(True)
         if p0 < LEAST_COVER:
             break
-        now = start
         while len(conditions) < MOST_CONDITIONS and n0:
             gain = lambda p, n: p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1.0  # noqa: B023, E731
-            c, grown, pruned = max(_candidates(now, cuts), key=lambda x: (gain(*x[1]), x[0].feature, x[0].at_least, x[0].threshold))
+            c, place, grown, pruned = max(covered.candidates(cuts), key=lambda x: (gain(*x[2]), x[0].feature, x[0].at_least, x[0].threshold))
             if gain(*grown) <= 1e-9:
                 break
-            conditions.append(c)
+            conditions.append((c, place))
             steps.append(pruned)
-            covered = covered.where(c.column())
-            (p0, n0) = grown
-            now = _counts(covered, cuts) if n0 and len(conditions) < MOST_CONDITIONS else now
+            covered = covered.where(covered.covers(place))
+            p0, n0 = grown
         if not conditions:
             break
         # prune: keep the prefix that is worth most on rows it hasn't seen
@@ -190,9 +214,11 @@ def learn(labelled: DataFrame) -> DecisionList:
         p, n = steps[best]
         if p + n < 1 or p / (p + n) < LEAST_PRECISION:
             break
-        rule = Rule(tuple(conditions[: best + 1]), p, n)
-        rules.append(rule)
-        rest = rest.where(~rule.column())
+        rules.append(Rule(tuple(c for c, _ in conditions[: best + 1]), p, n))
+        gone = np.ones(len(rest.bad), bool)
+        for _, place in conditions[: best + 1]:
+            gone &= rest.covers(place)
+        rest = rest.where(~gone)
     return DecisionList(tuple(rules))
 
 
