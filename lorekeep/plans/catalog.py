@@ -355,9 +355,10 @@ def ages(spark, sf_dir):
     return A.notes(spark, sf_dir).select("file", T.age_days(F.col("mtime"), A.now()).alias("age"))
 
 
-@query("a8_report_counts", _STALE + " SELECT count(*) AS n FROM stale")
+@query("a8_report_counts", _PAIRS + ", d AS (SELECT a FROM pair WHERE round(score, 9) >= 0.55) SELECT (SELECT count(*) FROM notes WHERE is_top AND doc_id % 90 >= 30) AS stale, (SELECT count(*) FROM d) AS pairs")
 def report_counts(spark, sf_dir):
-    return N.stale(A.notes(spark, sf_dir), A.now()).agg(F.count("*").alias("n"))
+    old = N.stale(A.notes(spark, sf_dir), A.now()).agg(F.count("*").alias("stale"))
+    return old.join(F.broadcast(N.dup_pairs(_note_vectors(spark, sf_dir)).agg(F.count("*").alias("pairs"))), F.lit(True))
 
 
 @query("s11_sink_review", _STALE + """, l AS (SELECT row_number() OVER (ORDER BY age_days DESC, file) + 1 AS pos, '- `' || file || '` — ' || age_days::VARCHAR || ' дн.' AS line FROM stale),
@@ -697,7 +698,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
  || '## 🔖 Текущее состояние' || chr(10) || 'state of ' || project || chr(10) || 'more' || chr(10) || chr(10) || '## Журнал' || chr(10)
  || string_agg(chr(10) || '### 2024-03-01 · ' || sid || ' · 5м' || chr(10) || summary, chr(10) ORDER BY seq DESC) || chr(10)) AS doc FROM r WHERE nth <= 15 GROUP BY project""")
 def session_doc(spark, sf_dir):
-    return _docs(spark, sf_dir).select("project", F.md5(F.col("doc").cast("binary")).alias("doc"))
+    """The documents are written, a file each, and read back."""
+    folder = _store(spark, "sessions")
+    S.write_notes(_docs(spark, sf_dir).select(F.concat("project", F.lit(".md")).alias("file"), F.col("doc").alias("raw")), folder)
+    read = S.scan_instincts(spark, folder)  # all notes of one folder
+    return read.select(F.regexp_replace("file", r"\.md$", "").alias("project"), F.md5(F.col("raw").cast("binary")).alias("doc"))
 
 
 @query("s6_scan_journal", _JOURNAL + " SELECT project, nth::INT AS pos, sid, '### 2024-03-01 · ' || sid || ' · 5м' AS header, summary AS body FROM r WHERE nth <= 15")
@@ -735,7 +740,11 @@ def denylist(spark, sf_dir):
 
 @query("t1_hook_event_ingest", _with(_OBS) + " SELECT seq, event, tool, session, input, output FROM o WHERE NOT (starts_with(cwd, '/w/click/') OR cwd = '/w/view/1' OR starts_with(cwd, '/w/view/1/'))")
 def ingest(spark, sf_dir):
-    return O.observe(O.not_denied(A.hook_events(spark, sf_dir), _denied(spark))).drop("timestamp")
+    """The stream itself, over files of hook events, until none is left."""
+    folder = _store(spark, "hooks")
+    A.hook_events(spark, sf_dir).write.parquet(f"{folder}/in")
+    H.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", _denied(spark)).awaitTermination()
+    return spark.read.schema(H.OBSERVATION).parquet(f"{folder}/out").drop("timestamp")
 
 
 @query("s9_sink_obs_append", _with(_OBS) + " SELECT seq, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, event, tool, session, input, output, seq % 3 < 2 AS archived FROM o")
@@ -887,7 +896,19 @@ _KEPT = _RUNS + " SELECT seq, repo, line FROM l WHERE nth <= 30"
 
 @query("s13_sink_testrun", _KEPT)
 def sink_testrun(spark, sf_dir):
-    return O.latest_runs(_runs(spark, sf_dir), DEFAULTS.kept_runs)
+    """The log is written and read back."""
+    store = _store(spark, "runs")
+    state.save(O.latest_runs(_runs(spark, sf_dir), DEFAULTS.kept_runs), store)
+    return state.load(spark, store, "seq long, repo string, line string")
+
+
+@query("t6_bounded_log_retention", _KEPT)
+def bounded_log(spark, sf_dir):
+    """The stream that keeps the log up, over files of test outputs."""
+    folder = _store(spark, "runs")
+    A.run_outputs(spark, sf_dir).write.parquet(f"{folder}/in")
+    H.keep_runs(spark, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return state.load(spark, f"{folder}/log", "seq long, repo string, line string")
 
 
 @query("w3_testrun_retention", _RUNS + " SELECT repo, least(count(*), 30) AS n FROM l GROUP BY repo")
@@ -895,9 +916,6 @@ def testrun_retention(spark, sf_dir):
     return O.latest_runs(_runs(spark, sf_dir), DEFAULTS.kept_runs).groupBy("repo").agg(F.count("*").alias("n"))
 
 
-QUERIES["t6_bounded_log_retention"], ORACLE["t6_bounded_log_retention"] = sink_testrun, _KEPT
-
-
 @query("w7_tail_n_runs", _RUNS + " SELECT seq, repo, line FROM l WHERE nth <= 3")
 def tail_runs(spark, sf_dir):
     return O.latest_runs(_runs(spark, sf_dir), DEFAULTS.shown_runs)
