@@ -3,8 +3,8 @@
 Every three consecutive lines of a text are a window. A window that occurs more than once in the corpus keeps its
 first occurrence (least doc_id, then text, then position); the lines of all later ones are removed, as the union
 of the positions they cover. Only DataFrame functions are used: windows are hashed where the text is read
-(128 bits), counted with partial aggregation, and the rare repeated ones meet their occurrences in a join that
-adaptive execution splits where it is skewed.
+(128 bits), counted with partial aggregation, and the rare repeated ones meet their occurrences in a join both of
+whose sides have an exchange, so that adaptive execution can split a window that a large part of all texts hold.
 
 Cases: a null text stays null; a text of fewer than three lines has no window and stays; windows without a word
 don't count; rows equal in doc_id and text count as one occurrence and share its outcome; a text all of whose
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import read
+from lorekeep.llm.common import join_split, read
 
 LINES = 3
 
@@ -56,7 +56,7 @@ def later_occurrences(docs: DataFrame) -> DataFrame:
         .where(~F.col("_first").eqNullSafe(F.col("_last")))
         .select("h1", "h2", "_first")
     )
-    return found.join(repeated, ["h1", "h2"]).where(~occurrence.eqNullSafe(F.col("_first"))).select("doc_id", "_text_hash", "pos")
+    return join_split(found, repeated, ["h1", "h2"]).where(~occurrence.eqNullSafe(F.col("_first"))).select("doc_id", "_text_hash", "pos")
 
 
 def _without(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, urls
+from lorekeep.llm import ann, lines, urls
+from lorekeep.llm.common import join_split
 
 SF = "/root/testdata/sf0.001"
 
@@ -174,3 +175,29 @@ def test_oracles_are_sql():
     from lorekeep.llm import queries
 
     assert all(isinstance(sql, str) for sql in queries.ORACLE.values())
+
+
+def test_a_hot_key_is_split_between_tasks(spark):
+    """A third of all rows have one key. Joined plainly with an aggregate by it, one task takes them all."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        rows = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), "id")
+        found = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+
+        def run(query):
+            got = sorted(map(tuple, query.collect()))
+            return got, "skew=true" in query._jdf.queryExecution().executedPlan().toString()
+
+        plain, dealt_plainly = run(rows.join(found, "key").select("key", "id", "n", "least"))
+        ours, dealt = run(join_split(rows, found, ["key"]).select("key", "id", "n", "least"))
+        assert plain == ours and len(ours) == 30_000
+        assert dealt and not dealt_plainly
+        texts = spark.createDataFrame([(k, f"own {k}\nlicense a\nlicense b\nlicense c\nend {k}") for k in range(3_000)], "doc_id long, text string").repartition(8)
+        later, dealt = run(lines.later_occurrences(texts))
+        assert [(r[0], r[2]) for r in later] == [(k, 1) for k in range(1, 3_000)] and dealt
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
