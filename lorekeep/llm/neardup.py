@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import by_size, mix64, read, stash
+from lorekeep.llm.common import by_size, join_split, mix64, read, stash
 from lorekeep.llm.words import LONG_WORD, blanks, cut, joined
 
 SHINGLE = 5
@@ -231,7 +231,7 @@ def told_apart(signed: DataFrame) -> DataFrame:
     shared = signed.groupBy("node").agg(F.min("check").alias("_a"), F.max("check").alias("_b")).where("_a <> _b").select("node", F.lit(True).alias("_shared"))
     if not shared.limit(1).count():
         return signed.drop("check", "spare")
-    return signed.join(shared, "node", "left").withColumn("node", F.when(F.col("_shared"), F.col("spare")).otherwise(F.col("node"))).drop("check", "spare", "_shared")
+    return join_split(signed, shared, ["node"], "left").withColumn("node", F.when(F.col("_shared"), F.col("spare")).otherwise(F.col("node"))).drop("check", "spare", "_shared")
 
 
 def partners(labelled: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def partners(labelled: DataFrame) -> DataFrame:
     blocks, of which each pair meets once; _b is the member's own."""
     sizes = labelled.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = labelled.join(sizes, "key").withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = join_split(labelled, sizes, ["key"]).withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = dealt.select("key", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "node", "id", "class", "keys")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -313,7 +313,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float, weighting: str
     of which the text of a goes once; a text is shuffled for each of its pairs and blocks, and none is held but that of a."""
     sizes = pairs.groupBy("a", "id_a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     centres = sizes.select("a", F.col("a").alias("node"), F.col("id_a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("kind"))
-    others = pairs.join(sizes, ["a", "id_a"]).select("a", F.col("b").alias("node"), F.col("id_b").alias("id"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("part"), F.lit(1).alias("kind"))
+    others = join_split(pairs, sizes, ["a", "id_a"]).select("a", F.col("b").alias("node"), F.col("id_b").alias("id"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("part"), F.lit(1).alias("kind"))
     # the same plan at every size: what is joined grows with the texts
     full = centres.union(others).join(keyed_texts(docs).hint("merge"), F.col("id") == F.col("row")).select("a", "node", "part", "kind", "text")
 
@@ -349,9 +349,9 @@ def components(links: DataFrame) -> DataFrame:
     while before["n"]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_split(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
+        small = join_split(large, down, ["a"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
         edges = stash(small, "edges")
         after = state(edges)
         if after == before:
@@ -364,7 +364,7 @@ def components(links: DataFrame) -> DataFrame:
 def mixed(labelled: DataFrame) -> DataFrame:
     """Those of ``labelled`` (key, class and others) whose band has members of several classes."""
     several = labelled.groupBy("key").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("key")
-    return labelled.join(several, "key")
+    return join_split(labelled, several, ["key"])
 
 
 def labels(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
@@ -375,7 +375,7 @@ def labels(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "se
     # only nodes of bands that several share; the rest is done
     members = stash(mixed(nodes.select("node", F.col("node").alias("class"), "id", F.explode("keys").alias("key"))).drop("class"), "members")
     centre = members.groupBy("key").agg(F.min_by(F.struct("node", "id"), F.struct(F.xxhash64("node", F.lit(0)), "node")).alias("c"))
-    met = members.join(centre, "key").where(F.col("node") != F.col("c.node")).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
+    met = join_split(members, centre, ["key"]).where(F.col("node") != F.col("c.node")).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
     links = stash(verify(stash(met.distinct(), "pairs"), docs, similarity, weighting), "links")
     label = stash(components(links), "classes")
     # what still shares bands across classes
@@ -388,7 +388,7 @@ def labels(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "se
     # of each class, the least doc_id
     known = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
     least = known.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    by_node = known.join(least, "class").select("node", "class", "class_id")
+    by_node = join_split(known, least, ["class"]).select("node", "class", "class_id")
     return signed.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", "class", "class_id")
 
 
