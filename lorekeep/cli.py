@@ -13,7 +13,7 @@ from lorekeep.plans import maintain as M
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="lorekeep")
-    p.add_argument("verb", choices=("index", "recall", "lifecycle", "link", "maintain"))
+    p.add_argument("verb", choices=("index", "recall", "lifecycle", "link", "graph", "maintain"))
     p.add_argument("query", nargs="*")
     p.add_argument("--folder", required=True)
     p.add_argument("--store", required=True)
@@ -31,8 +31,11 @@ def main(argv: list[str] | None = None) -> None:
             print(r.line)
     elif a.verb == "link":
         print(M.link(spark, a.folder, a.store))
+    elif a.verb == "graph":
+        for r in M.graph(spark, a.folder, a.store).orderBy("file", F.desc("score"), "target").toLocalIterator():
+            print(r.file, r.target, f"{r.score:.6f}", sep="\t")
     else:
-        print(M.maintain(spark, a.folder, a.store, F.current_timestamp()))
+        print(M.maintain(spark, a.folder, a.store, F.current_timestamp()) or "disabled or running, nothing done")
 
 
 if __name__ == "__main__":

@@ -38,6 +38,8 @@ class Settings:
     state_lines: int = 40
     shown_projects: int = 12
     log_bytes: int = 10 << 20
+    #: Minutes after which a run's lock counts as left behind.
+    lock_minutes: int = 60
     #: Rows of a block whose products with another block are one task.
     block_rows: int = 2048
     #: Queries that are broadcast at once; more of them run in blocks of so many.

@@ -12,7 +12,7 @@ from lorekeep.config import DEFAULTS, Settings
 from lorekeep.functions import vectors as V
 from lorekeep.operators import notes as N
 from lorekeep.sources import notes as S
-from lorekeep.sources import files, state
+from lorekeep.sources import files, lock, state
 
 FILES = "file string, hash string, mtime timestamp, model string"
 CHUNKS = "file string, heading string, text string, ord int, vec array<double>, reused boolean"
@@ -52,6 +52,11 @@ def lifecycle(spark: SparkSession, folder: str, store: str, now: Column, s: Sett
     return N.review(N.stale(S.scan_notes(spark, folder, s), now, s=s), N.dup_pairs(_vectors(spark, store), s=s), s)
 
 
+def graph(spark: SparkSession, folder: str, store: str, s: Settings = DEFAULTS) -> DataFrame:
+    """The notes' graph for other programs: file, target, score of each edge, without writing to the notes."""
+    return N.links(_vectors(spark, store), N.slugs(S.scan_notes(spark, folder, s)), s=s).select("file", "target", "score")
+
+
 def link(spark: SparkSession, folder: str, store: str, s: Settings = DEFAULTS) -> dict[str, int]:
     """Write the related notes into each note whose text changes by it."""
     found = S.scan_notes(spark, folder, s)
@@ -62,7 +67,13 @@ def link(spark: SparkSession, folder: str, store: str, s: Settings = DEFAULTS) -
 
 
 def maintain(spark: SparkSession, folder: str, store: str, now: Column, s: Settings = DEFAULTS) -> dict:
-    """Index, review, links, in this order; the review goes to its file in the folder."""
+    """Index, review, links, in this order; the review goes to its file in the folder. Nothing is done, and the result is
+    empty, while the store's switch is set or another run is at it."""
+    with lock.exclusive(spark, store, s.lock_minutes) as free:
+        return _maintain(spark, folder, store, now, s) if free else {}
+
+
+def _maintain(spark: SparkSession, folder: str, store: str, now: Column, s: Settings) -> dict:
     stats = index(spark, folder, store, s=s).first().asDict()
     lines = lifecycle(spark, folder, store, now, s).orderBy("section", "pos").toLocalIterator()
     files.replace(spark, f"{folder}/{s.review_file}", ((b"\n" if k else b"") + r.line.encode() for k, r in enumerate(lines)))

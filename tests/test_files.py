@@ -1,6 +1,8 @@
 """Files and tables that are replaced, appended to and read back, also when a run stops between two steps."""
 
 import json
+import os
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import vectors as V
 from lorekeep.operators import journal as J
 from lorekeep.operators import notes as N
-from lorekeep.sources import files, state
+from lorekeep.sources import files, lock, state
 from lorekeep.sources import notes as S
 
 
@@ -130,4 +132,30 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "rockets.md" in run("recall", "rockets", "in", "orbit", "-k", "1")
     assert "# " in run("lifecycle")
     assert json.loads(run("link").replace("'", '"'))["written"] >= 0
+    edges = [x.split("\t") for x in run("graph").splitlines()]
+    assert all(len(e) == 3 and e[0] != e[1] and float(e[2]) >= 0.25 for e in edges)
     assert "'embedded'" in run("maintain")
+    (tmp_path / "store" / "disabled").touch()
+    assert "nothing done" in run("maintain")
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    folder = str(tmp_path)
+    held = tmp_path / lock.LOCK
+    with lock.exclusive(spark, folder, 20) as first:
+        assert first and held.exists()
+        with lock.exclusive(spark, folder, 20) as second:
+            assert not second
+        assert held.exists()  # the refused run leaves the other's lock
+        os.utime(held, (time.time() - 21 * 60,) * 2)
+        with lock.exclusive(spark, folder, 20) as third:
+            assert third  # one that was left behind doesn't hold
+            with lock.exclusive(spark, folder, 20) as fourth:
+                assert not fourth
+    assert not held.exists()
+    with pytest.raises(ValueError, match="stopped"), lock.exclusive(spark, folder, 20):
+        raise ValueError("stopped")
+    assert not [f for f in tmp_path.iterdir() if lock.LOCK in f.name and not f.name.startswith(".")]
+    (tmp_path / lock.DISABLED).touch()
+    with lock.exclusive(spark, folder, 20) as free:
+        assert not free and not held.exists()
