@@ -73,9 +73,22 @@ def remove_block(raw: Column, s: Settings = DEFAULTS) -> Column:
     return F.concat(rstrip(F.when(post != "", F.concat(pre, F.lit("\n\n"), post)).otherwise(pre)), F.lit("\n"))
 
 
+def two_decimals(x: Column) -> Column:
+    """A double with two decimals, rounded by its binary value as C and Python do (a tie goes to the even digit), where
+    format_string rounds the shortest decimal up: 0.285 is under 0.285 and gives 0.28. Numbers over 1.25 aren't split."""
+    scaled = F.abs(x) * float(1 << 56)
+    whole = F.floor(scaled)
+    part, more = whole * 100, (scaled - whole.cast("double")) * 100.0
+    digits, lacks = F.shiftright(part, 56), (F.lit(1 << 55) - part.bitwiseAND((1 << 56) - 1)).cast("double")
+    up = (more > lacks) | ((more == lacks) & (digits % 2 == 1))
+    n = digits + up.cast("long")
+    exact = F.format_string("%s%d.%02d", F.when(x < 0, "-").otherwise(""), F.floor(n / 100), n % 100)
+    return F.when(F.abs(x) <= 1.25, exact).otherwise(F.format_string("%.2f", x))
+
+
 def render_block(links: Column, s: Settings = DEFAULTS) -> Column:
     """``links``: array of (slug, score)."""
-    line = lambda x: F.format_string("- [[%s]] — %.2f", x["slug"], x["score"])
+    line = lambda x: F.concat(F.lit("- [["), x["slug"], F.lit("]] — "), two_decimals(x["score"]))
     return F.array_join(F.concat(F.array(F.lit(s.related_start), F.lit(s.related_heading)), F.transform(links, line), F.array(F.lit(s.related_end))), "\n")
 
 

@@ -124,6 +124,17 @@ def test_links_are_written_once(spark):
     assert again.where("changed").count() == 0
 
 
+def test_scores_are_rounded_by_their_binary_value(spark):
+    import random
+
+    rnd = random.Random(1)
+    xs = [k / 1000 for k in range(-1250, 1251)] + [k / 8 for k in range(-12, 13)] + [rnd.uniform(-2, 2) for _ in range(2000)] + [1e-9, 1e-300, 0.005 + 2**-57]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.two_decimals(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in rows if abs(r.x) <= 1.25 and r.t != f"{r.x:.2f}"] == []
+    block = spark.range(1).select(T.render_block(F.array(F.struct(F.lit("s").alias("slug"), F.lit(0.285).alias("score")))).alias("t")).first().t
+    assert "- [[s]] — 0.28\n" in block
+
+
 def test_stale_and_review(spark):
     rows = [("old.md", "2024-01-20"), ("edge.md", "2024-01-31"), ("new.md", "2024-02-28"), ("MEMORY.md", "2023-01-01"), ("_review.md", "2023-01-01"), ("sessions/s.md", "2023-01-01")]
     d = spark.createDataFrame([(f, datetime.fromisoformat(m)) for f, m in rows], "file string, mtime timestamp")
