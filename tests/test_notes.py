@@ -111,6 +111,22 @@ def test_pairs_do_not_depend_on_blocks(spark):
     assert rows(N.links(v, slug, s=small)) == rows(N.links(v, slug, s=large))
 
 
+def test_vectors_are_not_copied_for_each_block_that_they_meet(spark):
+    """Blocks meet in a product of partitions, not as copies in a shuffle, which would grow with the square of the files."""
+    import random
+
+    from lorekeep.config import Settings
+
+    rnd = random.Random(3)
+    v = N.file_vectors(vectors(spark, {f"f{k:04}": [rnd.gauss(0, 1) for _ in range(64)] for k in range(600)}), 64)
+    plans = []
+    for f in (N.dup_pairs,):
+        d = f(v, 0.9, Settings(block_rows=20))
+        d.collect()
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+    assert all("CartesianProduct" in p and "Generate explode" not in p for p in plans)
+
+
 def test_links_are_written_once(spark):
     d = notes(spark, alpha="cats purr softly at night", beta="cats purr softly at noon", gamma="rockets fly to orbit", MEMORY="cats purr")
     vec = N.file_vectors(index(spark, d)[1], V.HASH_DIM, only_top_level=True, centered=True)
