@@ -111,6 +111,23 @@ def test_pairs_do_not_depend_on_blocks(spark):
     assert rows(N.links(v, slug, s=small)) == rows(N.links(v, slug, s=large))
 
 
+def test_positions_and_counts_of_pairs_do_not_depend_on_blocks(spark, monkeypatch):
+    import random
+
+    from lorekeep.config import Settings
+
+    rnd = random.Random(2)
+    rows = {f"f{k}": [rnd.choice([-1, 1, 2]) for _ in range(3)] for k in range(60)}  # many copies and ties
+    v = N.file_vectors(vectors(spark, rows), 3, centered=True)
+    monkeypatch.setattr(N, "GROUP_BLOCKS", 3)
+    for s in (Settings(block_rows=5), Settings(block_rows=1000)):
+        pairs = sorted(((r.a, r.b, r.score) for r in N.dup_pairs(v, 0.1, s).collect()), key=lambda r: (-r[2], r[0], r[1]))
+        assert len(pairs) > 200 and all(a < b for a, b, _ in pairs)
+        assert [(*r, k) for k, r in enumerate(pairs, 1)] == sorted(((r.a, r.b, r.score, r.pos) for r in N.dup_positions(v, 0.1, s).collect()), key=lambda r: r[3])
+    assert N.dup_positions(v.limit(0), 0.1).count() == 0
+    assert N.dup_positions(v, -1.0, Settings(block_rows=5)).agg(F.max("pos")).first()[0] == 60 * 59 // 2
+
+
 def test_vectors_are_not_copied_for_each_block_that_they_meet(spark):
     """Blocks meet in a product of partitions, not as copies in a shuffle, which would grow with the square of the files."""
     import random
