@@ -213,6 +213,19 @@ def dup_pairs(vectors: DataFrame, threshold: float | None = None, s: Settings =
     return _meet(blocks, groups, F.col("g") <= F.col("gg"), work, "a string, b string, score double")
 
 
+def dup_count(vectors: DataFrame, threshold: float | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """pairs: how many rows dup_pairs() has, counted where they are found."""
+    threshold = s.dup_threshold if threshold is None else threshold
+    found, (blocks, groups) = _over(threshold, s), _packed(vectors, s)
+
+    def work(row, names, x, ps, others, y):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(v) for _, _, v in found(row["p"].as_py(), x, ps, y))], pa.int64())], ["n"])
+
+    return _meet(blocks, groups, F.col("g") <= F.col("gg"), work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
 def dup_positions(vectors: DataFrame, threshold: float | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """dup_pairs() with pos, their place from 1 on by score from the best, a, b. Pairs are neither sorted nor shuffled: a
     first pass counts those of each file and score (of three decimals), by which a second one, over the same stored

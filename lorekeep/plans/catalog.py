@@ -358,7 +358,7 @@ def ages(spark, sf_dir):
 @query("a8_report_counts", _PAIRS + ", d AS (SELECT a FROM pair WHERE round(score, 9) >= 0.55) SELECT (SELECT count(*) FROM notes WHERE is_top AND doc_id % 90 >= 30) AS stale, (SELECT count(*) FROM d) AS pairs")
 def report_counts(spark, sf_dir):
     old = N.stale(A.notes(spark, sf_dir), A.now()).agg(F.count("*").alias("stale"))
-    return old.join(F.broadcast(N.dup_pairs(_note_vectors(spark, sf_dir)).agg(F.count("*").alias("pairs"))), F.lit(True))
+    return old.join(F.broadcast(N.dup_count(_note_vectors(spark, sf_dir))), F.lit(True))
 
 
 @query("s11_sink_review", _STALE + """, l AS (SELECT row_number() OVER (ORDER BY age_days DESC, file) + 1 AS pos, '- `' || file || '` — ' || age_days::VARCHAR || ' дн.' AS line FROM stale),

@@ -124,7 +124,8 @@ def test_positions_and_counts_of_pairs_do_not_depend_on_blocks(spark, monkeypatc
         pairs = sorted(((r.a, r.b, r.score) for r in N.dup_pairs(v, 0.1, s).collect()), key=lambda r: (-r[2], r[0], r[1]))
         assert len(pairs) > 200 and all(a < b for a, b, _ in pairs)
         assert [(*r, k) for k, r in enumerate(pairs, 1)] == sorted(((r.a, r.b, r.score, r.pos) for r in N.dup_positions(v, 0.1, s).collect()), key=lambda r: r[3])
-    assert N.dup_positions(v.limit(0), 0.1).count() == 0
+        assert N.dup_count(v, 0.1, s).first().pairs == len(pairs)
+    assert N.dup_positions(v.limit(0), 0.1).count() == 0 and N.dup_count(v.limit(0), 0.1).first().pairs == 0
     assert N.dup_positions(v, -1.0, Settings(block_rows=5)).agg(F.max("pos")).first()[0] == 60 * 59 // 2
 
 
@@ -137,7 +138,7 @@ def test_vectors_are_not_copied_for_each_block_that_they_meet(spark):
     rnd = random.Random(3)
     v = N.file_vectors(vectors(spark, {f"f{k:04}": [rnd.gauss(0, 1) for _ in range(64)] for k in range(600)}), 64)
     plans = []
-    for f in (N.dup_pairs,):
+    for f in (N.dup_pairs, N.dup_count):
         d = f(v, 0.9, Settings(block_rows=20))
         d.collect()
         plans.append(d._jdf.queryExecution().executedPlan().toString())
