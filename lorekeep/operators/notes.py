@@ -290,65 +290,47 @@ def dup_positions(vectors: DataFrame, threshold: float | None = None, s: Setting
     return _meet(blocks.join(starts, "p"), groups, F.col("g") <= F.col("gg"), number, "a string, b string, score double, pos long")
 
 
-def _block_products(vectors: DataFrame, pick, s: Settings) -> DataFrame:
-    """All products of rows, exactly, as matrix products of pairs of blocks: rows are dealt by hash over n / block_rows
-    blocks and each pair of blocks meets in one task of bounded size. ``pick(names, scores)`` chooses from each product."""
-    n = vectors.count()
-    blocks = max(1, -(-n // s.block_rows))
-    own = F.pmod(F.xxhash64("file"), F.lit(blocks))
-    spread = vectors.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    keyed = spread.select(F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), "_b", "file", "vec")
-
-    def meet(table):
-        import numpy as np
-        import pyarrow as pa
-
-        names = np.array(table.column("file").to_pylist(), object)
-        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(len(names), -1) if len(names) else np.zeros((0, 1))
-        block = table.column("_b").to_numpy()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        i, j, v = pick(names[a], names[b], x[a] @ x[b].T, p == q)
-        return pa.table({"a": pa.array(i, pa.string()), "b": pa.array(j, pa.string()), "score": pa.array(v, pa.float64())})
-
-    return keyed.groupBy("p", "q").applyInArrow(meet, "a string, b string, score double")
-
-
 def links(vectors: DataFrame, slugs: DataFrame, top_n: int | None = None, threshold: float | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """file, rank, target, slug, score: the best other files of each file, from the threshold on. The index file is
-    neither source nor target, though it counts in the centring. Blocks keep their best before the shuffle."""
+    neither source nor target, though it counts in the centring. A block keeps its rows' best of a group before the shuffle."""
     top_n, threshold = top_n or s.link_top_n, s.link_threshold if threshold is None else threshold
-    excluded = s.index_file
+    excluded, step = s.index_file, s.block_rows
+    near = 1e-5  # more than products of unit vectors in single precision can be off
 
-    def pick(left, right, scores, same):
+    def work(row, names, x, ps, others, y):
         import numpy as np
-
-        def best(a, b, m):
-            place = np.empty(len(b), np.int64)
-            place[np.argsort(b, kind="stable")] = np.arange(len(b))  # names' order, by which ties go
-            m = np.where(np.round(m, 9) >= threshold, m, -np.inf)
-            m[:, b == excluded] = -np.inf
-            m[a == excluded] = -np.inf
-            if same:
-                m[np.arange(len(a)), np.arange(len(a))] = -np.inf
-            rounded = np.round(m, 12)
-            least = np.partition(rounded, len(b) - min(top_n, len(b)), axis=1)[:, len(b) - min(top_n, len(b))]
-            i, j = np.nonzero((rounded >= least[:, None]) & (m > -np.inf))
-            order = np.lexsort((place[j], -rounded[i, j], i))
-            i, j = i[order], j[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[nth < top_n], j[nth < top_n]
-            return a[i], b[j], m[i, j]
-
-        if not len(left) or not len(right):
-            return [], [], []
-        found = best(left, right, scores)
-        if same:
-            return found
-        return tuple(np.concatenate(x) for x in zip(found, best(right, left, scores.T), strict=True))
-
-    found = _block_products(vectors, pick, s)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        p = row["p"].as_py()
+        first = int(np.searchsorted(ps, p)) if p in ps else len(y)
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+        least = np.full(len(x), threshold - near, np.float32)
+        least[pc.equal(names, excluded).to_numpy(zero_copy_only=False)] = np.inf
+        never = np.flatnonzero(pc.equal(others, excluded).to_numpy(zero_copy_only=False))
+        a, b, v = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, len(y), step):
+            m = x32 @ y32[at : at + step].T
+            m[:, never[(never >= at) & (never < at + step)] - at] = -np.inf
+            own = np.arange(max(first, at), min(first + len(x), at + step))
+            m[own - first, own - at] = -np.inf
+            if not at and m.shape[1] > top_n:
+                least = np.maximum(least, np.partition(m, m.shape[1] - top_n, axis=1)[:, m.shape[1] - top_n] - np.float32(2 * near))
+            i, j = np.nonzero(m >= least[:, None])
+            if not len(i):
+                continue
+            exact = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 16384]], y[at + j[k : k + 16384]]) for k in range(0, len(i), 16384)])
+            keep = np.floor(exact * 1e9 + 0.5) / 1e9 >= threshold
+            a, b, v = np.concatenate([a, i[keep]]), np.concatenate([b, at + j[keep]]), np.concatenate([v, exact[keep]])
+            order = np.lexsort((b, -np.round(v, 12), a))
+            a, b, v = a[order], b[order], v[order]
+            nth = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, v, nth = (c[nth < top_n] for c in (a, b, v, nth))
+            full = nth == top_n - 1
+            least[a[full]] = np.maximum(least[a[full]], (v[full] - 2 * near).astype(np.float32))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), others.take(pa.array(b)), pa.array(v)], ["a", "b", "score"])
+
+    found = _meet(*_packed(vectors, s), F.lit(True), work, "a string, b string, score double")
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b"))
     best = found.withColumn("rank", nth).where(F.col("rank") <= top_n)
     return best.join(slugs.select(F.col("file").alias("b"), "slug"), "b").select(F.col("a").alias("file"), "rank", F.col("b").alias("target"), "slug", "score")

@@ -138,7 +138,7 @@ def test_vectors_are_not_copied_for_each_block_that_they_meet(spark):
     rnd = random.Random(3)
     v = N.file_vectors(vectors(spark, {f"f{k:04}": [rnd.gauss(0, 1) for _ in range(64)] for k in range(600)}), 64)
     plans = []
-    for f in (N.dup_pairs, N.dup_count):
+    for f in (N.dup_pairs, N.dup_count, lambda *a: N.links(a[0], v.select("file", F.col("file").alias("slug")), threshold=a[1], s=a[2])):
         d = f(v, 0.9, Settings(block_rows=20))
         d.collect()
         plans.append(d._jdf.queryExecution().executedPlan().toString())
