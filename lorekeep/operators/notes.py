@@ -312,7 +312,7 @@ def links(vectors: DataFrame, slugs: DataFrame, top_n: int | None = None, thresh
         for at in range(0, len(y), step):
             m = x32 @ y32[at : at + step].T
             m[:, never[(never >= at) & (never < at + step)] - at] = -np.inf
-            own = np.arange(max(first, at), min(first + len(x), at + step))
+            own = np.arange(max(first, at), min(first + len(x), at + step, len(y)))
             m[own - first, own - at] = -np.inf
             if not at and m.shape[1] > top_n:
                 least = np.maximum(least, np.partition(m, m.shape[1] - top_n, axis=1)[:, m.shape[1] - top_n] - np.float32(2 * near))

@@ -125,6 +125,9 @@ def test_positions_and_counts_of_pairs_do_not_depend_on_blocks(spark, monkeypatc
         assert len(pairs) > 200 and all(a < b for a, b, _ in pairs)
         assert [(*r, k) for k, r in enumerate(pairs, 1)] == sorted(((r.a, r.b, r.score, r.pos) for r in N.dup_positions(v, 0.1, s).collect()), key=lambda r: r[3])
         assert N.dup_count(v, 0.1, s).first().pairs == len(pairs)
+    slug = v.select("file", F.col("file").alias("slug"))
+    rows = lambda d: sorted((r.file, r["rank"], r.target) for r in d.collect())
+    assert rows(N.links(v, slug, s=Settings(block_rows=5))) == rows(N.links(v, slug, s=Settings(block_rows=1000)))
     assert N.dup_positions(v.limit(0), 0.1).count() == 0 and N.dup_count(v.limit(0), 0.1).first().pairs == 0
     assert N.dup_positions(v, -1.0, Settings(block_rows=5)).agg(F.max("pos")).first()[0] == 60 * 59 // 2
 
