@@ -148,6 +148,39 @@ def test_vectors_are_not_copied_for_each_block_that_they_meet(spark):
     assert all("CartesianProduct" in p and "Generate explode" not in p for p in plans)
 
 
+def test_pairs_cost_few_bytes_on_their_way(spark):
+    """Python gives the places of a pair, not its two names: 44 bytes a pair with them."""
+    v = N.file_vectors(vectors(spark, {f"doc_{k:05}.md": [1, 0.001 * (k % 50)] for k in range(1000)}), 2)
+    d = N.dup_pairs(v)
+    assert len(d.collect()) == 1000 * 999 // 2
+
+    def received(node):
+        own = node.metrics().get("pythonDataReceived")
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        below = [inner] if inner is not None else [node.children().apply(k) for k in range(node.children().size())]
+        return (own.get().value() if own.isDefined() else 0) + sum(map(received, below))
+
+    assert 0 < received(d._jdf.queryExecution().executedPlan()) < 30 * 1000 * 999 // 2
+
+
+def test_pairs_are_those_of_double_precision(spark):
+    """Products at the threshold and halfway between two thousandths, of which single precision can't tell."""
+    import numpy as np
+
+    from lorekeep.config import Settings
+
+    turn = [np.arccos(c) for c in (0.5500000004, 0.5499999996, 0.5499999994, 0.7005, 0.70050000001, 0.70049999999, 0.8)]
+    rows = {f"f{k:03}": [np.cos(w), np.sin(w), 0] for k, w in enumerate([0, *turn])}
+    rows |= {f"r{k:03}": x / np.linalg.norm(x) for k, x in enumerate(np.random.default_rng(4).normal(size=(130, 3)))}
+    names, x = list(rows), np.array(list(rows.values()))
+    product = np.cumsum(x[:, None, :] * x[None, :, :], axis=2)[:, :, -1]
+    good = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if np.floor(product[a, b] * 1e9 + 0.5) / 1e9 >= 0.55]
+    want = [(names[a], names[b], np.floor(product[a, b] * 1000 + 0.5) / 1000) for a, b in good]
+    v = vectors(spark, rows).drop("ord")
+    for s in (Settings(block_rows=37), Settings()):
+        assert sorted((r.a, r.b, r.score) for r in N.dup_pairs(v, 0.55, s).collect()) == sorted(want)
+
+
 def test_links_are_written_once(spark):
     d = notes(spark, alpha="cats purr softly at night", beta="cats purr softly at noon", gamma="rockets fly to orbit", MEMORY="cats purr")
     vec = N.file_vectors(index(spark, d)[1], V.HASH_DIM, only_top_level=True, centered=True)
