@@ -181,6 +181,24 @@ def test_pairs_are_those_of_double_precision(spark):
         assert sorted((r.a, r.b, r.score) for r in N.dup_pairs(v, 0.55, s).collect()) == sorted(want)
 
 
+def test_counts_of_pairs_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """A row for each block and group, shuffled twice and sorted, took more disk than the vectors."""
+    import random
+
+    from lorekeep.config import Settings
+
+    rnd, kept, stash = random.Random(5), {}, N.scratch.stash
+    v = N.file_vectors(vectors(spark, {f"f{k:03}": [rnd.gauss(0, 1) for _ in range(3)] for k in range(120)}), 3)
+    monkeypatch.setattr(N, "GROUP_BLOCKS", 3)
+    monkeypatch.setattr(N.scratch, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    d = N.dup_positions(v, 0.1, Settings(block_rows=5))
+    n = len(d.collect())
+    assert sorted(r.pos for r in d.collect()) == list(range(1, n + 1))
+    assert kept["groups"].count() > 3 and kept["counts"].count() == kept["blocks"].count()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "CartesianProduct" in plan and "RoundRobin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_links_are_written_once(spark):
     d = notes(spark, alpha="cats purr softly at night", beta="cats purr softly at noon", gamma="rockets fly to orbit", MEMORY="cats purr")
     vec = N.file_vectors(index(spark, d)[1], V.HASH_DIM, only_top_level=True, centered=True)
